@@ -54,4 +54,14 @@ o as (select d.doc_id, d.source, d.size, n.source_size, n.target, n.whole, n.nee
 select doc_id, source, size, source_size::bigint as source_size, target, (whole * size + least(size, greatest(0, need - before)))::bigint as taken from o
 """
 
-ORACLES = {"op2_quality_ledger": OP2, "op6_mixture": OP6}
+OP10 = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+d as (select page_id, octet_length(encode(t))::bigint as payload_bytes, sha256(t) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from f
+"""
+
+ORACLES = {"op2_quality_ledger": OP2, "op6_mixture": OP6, "op10_warc_archives": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, quality
+from barloom.llm import html, media, mixing, packing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,32 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op1_jpeg_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(_table(spark, sf_dir, "documents"))
+
+
+def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archive(_table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
+    "op1_jpeg_store": op1_jpeg_store,
     "op2_quality_ledger": op2_quality_ledger,
+    "op3_packed_sequences": op3_packed_sequences,
     "op6_mixture": op6_mixture,
+    "op7_secret_spans": op7_secret_spans,
+    "op8_main_text": op8_main_text,
+    "op10_warc_archives": op10_warc_archives,
 }
