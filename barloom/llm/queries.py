@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import html, media, mixing, packing, quality, secrets, warc
+from barloom.llm import html, jaccard, media, mixing, packing, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(_table(spark, sf_dir, "pages")))
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op6_mixture": op6_mixture,
     "op7_secret_spans": op7_secret_spans,
     "op8_main_text": op8_main_text,
+    "op9_shingle_links": op9_shingle_links,
     "op10_warc_archives": op10_warc_archives,
 }
