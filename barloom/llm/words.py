@@ -57,12 +57,17 @@ class Words:
         power, inverse = _power(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
-        self.hashes = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _U(_GOLD))
+        self._sums, self._inverse = sums, inverse
+        self.hashes = self.pieces(first, last)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         self.begin = np.concatenate(([0], np.searchsorted(first, ends)))
         self.counts = np.diff(self.begin)
         self.first, self.last, self.data = first, last, data
 
+    def pieces(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes; a word's is that of the same bytes anywhere."""
+        return mix((self._sums[last] - self._sums[first]) * self._inverse[first] + (last - first).astype(np.uint64) * _U(_GOLD))
+
 
 def groups(texts, most: int = 1 << 20):
     """(place of the first, encoded texts) in groups of about ``most`` bytes; null is empty."""
