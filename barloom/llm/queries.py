@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import html, jaccard, media, mixing, packing, quality, secrets, warc
+from barloom.llm import html, jaccard, lm, media, mixing, packing, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,15 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -55,9 +64,20 @@ QUERIES = {
     "op1_jpeg_store": op1_jpeg_store,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_packed_sequences": op3_packed_sequences,
+    "op4_toxic_severity": op4_toxic_severity,
+    "op5_gru_scores": op5_gru_scores,
     "op6_mixture": op6_mixture,
     "op7_secret_spans": op7_secret_spans,
     "op8_main_text": op8_main_text,
     "op9_shingle_links": op9_shingle_links,
     "op10_warc_archives": op10_warc_archives,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
