@@ -5,14 +5,14 @@ a row for each (segment content, class): its tokens are segment contents.  Two s
 at most d shingles, where d follows from their sizes; cut into more than d segments, at least one has the same content
 in both.  So a query that shares no token with a group can't reach any of its members, and that group is not opened.
 
-1. Sizes fall into levels such that similar sets are on the same or on neighbouring levels; each class is cut for its
-   own level and the next.  Segments with few shingles say little and would be shared by chance: enough spare segments
+1. Sizes fall into levels; each class is cut for its own level and for those above that a similar set may be on.  Segments with few shingles say little and would be shared by chance: enough spare segments
    are cut that equal ones can't all be among them; a set with too many of them is cut again by another hash.
 2. Groups are formed around the member that shares most tokens with others: each class is compared with the hub of its
    tokens, and linked classes are joined (two rounds).
-3. What still stands apart in a token's row is grouped by component.  Groups keep the union of their members'
-   shingles; a query opens only groups whose union covers as much of it as the threshold needs.  Rows with many
-   members are dealt out as pairs of blocks.
+3. What still stands apart in a token's row is grouped by component.  Groups keep what their members' sets have
+   together, folded into parity bits (those set in some and in every member); a query opens only the groups that it doesn't
+   differ from by more than the threshold allows, and in them compares the sets of those members whose own bits
+   leave it open.  Rows with many members are dealt out as pairs of blocks.
 
 Nothing is capped: every pair that reaches the threshold is compared or already joined through others.  Equality of
 shingles and sets is judged by 64-bit hashes.
@@ -34,20 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.scratch import drop, fresh, stash
+from barloom.llm.scratch import drop, fresh, release, stash
 from barloom.llm.words import Words, groups, mix, shingles
 
 _U = np.uint64
-HASHES, BLOCK = 6, 128
+HASHES, BLOCK, BITS = 6, 128, 4096
+BROADCAST_ROWS = 2_000_000
 
 
 @functools.lru_cache(maxsize=8)
 def levels(num: int, den: int, most: int = 1 << 40) -> tuple[list[int], list[tuple[int, int, int]]]:
     """First sizes of the levels; and for each level the segments m, spare ones e, and least shingles s of a segment."""
     first, plans = [1], []
+    wide = 3 if 100 * num >= 85 * den else 2  # wider levels: fewer sets are cut twice, but into more segments
     while first[-1] < most:
         a = first[-1]
-        first.append(max(a + 1, (a - 1) * den // num + 1))
+        first.append(max(a + 1, math.ceil(a * (den / num) ** wide)))
     for c in range(len(first) - 1):
         top = first[c + 1] - 1
         d = 2 * top * (den - num) // (den + num)
@@ -91,10 +93,10 @@ def _cut(h: np.ndarray, level: int, plan: tuple[int, int, int]) -> list[np.ndarr
 
 
 def tokens(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A set's tokens at its level and the next."""
+    """A set's tokens at its level and those above that begin within its reach."""
     first, plans = levels(num, den)
-    c = int(np.searchsorted(first, len(h), "right")) - 1
-    parts = [x for k in (c, c + 1) if plans[k][0] for x in _cut(h, k, plans[k])]
+    low, high = np.searchsorted(first, [len(h), len(h) * den // num], "right") - 1
+    parts = [x for k in range(int(low), int(high) + 1) if plans[k][0] for x in _cut(h, k, plans[k])]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -149,18 +151,41 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t[give]), pa.array(k[give])], names=["token", "key"])
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each of ``BITS`` parts of the hash range whether it holds an odd number: sets differ by as many shingles at least
+    as these bits differ."""
+    return np.packbits((np.bincount((h >> _U(64 - 12)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _hashes(k: int):
-    """The sets themselves: key and sorted hashes as bytes."""
+    """The sets themselves: key, size, sorted hashes and parity bits; equal ones once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for _, texts in groups(batch.column(0)):
-                sets = [h for h in shingles(Words(texts), k) if len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "h"])
+            for first, texts in groups(batch.column(1)):
+                rows = []
+                for want, h in zip(batch.column(0).slice(first, len(texts)).to_pylist(), shingles(Words(texts), k), strict=True):
+                    if len(h) and set_key(h) == want and want not in seen:
+                        seen.add(want)
+                        rows.append((want, len(h), h.tobytes(), parity(h)))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "h", "bits"])
 
     return run
 
 
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+
+
+def _may_link(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes and parity bits can reach the threshold."""
+    apart = _ONES[bits ^ others].sum(-1, dtype=np.int64)
+    fits = den * np.minimum(n, m) >= num * np.maximum(n, m)
+    return fits & (apart * (den + num) <= (n + m) * (den - num))
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -190,44 +215,58 @@ def _alike(num: int, den: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left, right = sets.toDF("ku", "hu"), sets.toDF("kv", "hv")
+def _near(num: int, den: int):
+    """Pairs with sizes and parity bits -> those that may reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("nu", "nv"))
+            bits, others = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bu", "bv"))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(_may_link(n, bits, m, others, num, den)))
+
+    return run
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool = True) -> DataFrame:
+    """The pairs that reach the threshold; ``bound``: first by parity bits, so that few sets are moved."""
+    if bound:
+        left, right = sets.select("key", "n", "bits").toDF("ku", "nu", "bu"), sets.select("key", "n", "bits").toDF("kv", "nv", "bv")
+        full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
+        pairs = full.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_near(num, den), "u long, v long")
+    left, right = sets.select("key", "h").toDF("ku", "hu"), sets.select("key", "h").toDF("kv", "hv")
     full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
     return full.select("u", "v", "hu", "hv").mapInArrow(_alike(num, den), "u long, v long")
 
 
 def _open_groups(num: int, den: int):
-    """A block pair of a token's row: links between its groups, opening only those that a query can reach."""
+    """A block pair of a token's row -> the pairs of different components that the bounds leave open.
+
+    Members of one component are a group; the group's bound is the union of its members' bits that are set in all or none.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sides = [frame[frame["side"] == s] for s in (0, 1)]
-        sides[1] = sides[1] if len(sides[1]) else sides[0]
-        left, right = ([(int(k), int(c), np.frombuffer(h, np.uint64)) for k, c, h in zip(x["key"], x["comp"], x["h"], strict=True)] for x in sides)
-        unions: dict[int, np.ndarray] = {}
-        for _, c, h in right:
-            unions[c] = np.union1d(unions[c], h) if c in unions else h
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        links: list[tuple[int, int]] = []
-        for key, comp, h in left:
-            need = -(-num * len(h) // den)
-            for other, union in unions.items():
-                if root(other) == root(comp) or _common(h, union) < need:
+        one = not len(sides[1])
+        sides[1] = sides[0] if one else sides[1]
+        (key, comp, n, bits), (key2, comp2, m, bits2) = (
+            (x["key"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), np.frombuffer(b"".join(x["bits"]), np.uint8).reshape(-1, BITS // 8)) for x in sides
+        )
+        out = []
+        groups_of = [(c, np.flatnonzero(comp2 == c)) for c in np.unique(comp2)]
+        bounds = [(np.bitwise_and.reduce(bits2[at]), np.bitwise_or.reduce(bits2[at]), m[at].min(), m[at].max()) for _, at in groups_of]
+        for i in range(len(key)):
+            for (c, at), (every, some, least, most) in zip(groups_of, bounds, strict=True):
+                if c == comp[i] or den * n[i] < num * least or den * most < num * n[i]:
+                    continue
+                # bits that differ from those of every member
+                apart = int(_ONES[(bits[i] & ~some) | (~bits[i] & every)].sum(dtype=np.int64))
+                if apart * (den + num) > (n[i] + most) * (den - num):
                     continue
-                for k2, c2, h2 in right:
-                    if c2 != other or k2 == key or den * min(len(h), len(h2)) < num * max(len(h), len(h2)):
-                        continue
-                    n = _common(h, h2)
-                    if den * n >= num * (len(h) + len(h2) - n):
-                        links.append((key, k2))
-                        parent[root(other)] = root(comp)
-                        break
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+                near = at[_may_link(np.full(len(at), n[i]), bits[i], m[at], bits2[at], num, den)]
+                out += [(min(key[i], k), max(key[i], k)) for k in key2[near] if not one or key[i] < k]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -257,12 +296,21 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str =
     rows = base.where("tokens is not null").select(F.explode("tokens").alias("token"), "key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrix = stash(rows.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_runs, "token long, key long"), "matrix")
+    del rows
+    cut, base = base, stash(base.select("doc_id", "n", "key"), "classes")
+    drop(cut)
+    del cut
+    release(docs.sparkSession)  # the tokens' shuffle
 
     # the sets of classes that share a token with another
     first = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = first.join(matrix.select("key").distinct(), "key", "left_semi").select(F.col("rep"))
-    members = source.join(wanted.distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = stash(members.select("text").mapInArrow(_hashes(k), "key long, h binary").dropDuplicates(["key"]), "hashes")
+    wanted = stash(first.join(matrix.select("key").distinct(), "key", "left_semi").select("rep", F.col("key").alias("want")), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond it, texts are moved
+    members = source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"))
+    sets = stash(members.select("want", "text").mapInArrow(_hashes(k), "key long, n long, h binary, bits binary"), "hashes")
+    found = sets.agg(F.count("key"), F.count_distinct("key")).first()
+    if found[0] != found[1]:  # repeated rows of one doc_id in several tasks
+        sets = stash(sets.dropDuplicates(["key"]), "hashes-once")
 
     # a class weighs as much as the rows that it shares
     row_size = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select(F.col("token").alias("t"), "c")
@@ -295,9 +343,9 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str =
     own = F.pmod(F.xxhash64(F.lit(11), "key"), blocks).cast("int")
     dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("token", "key", "comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    filled = dealt.join(sets.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key")).drop("s_key")
-    last = filled.groupBy("token", "a", "b").applyInPandas(_open_groups(num, den), "u long, v long")
-    links = stash(links.union(last), "links-3")
+    filled = dealt.join(sets.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key")).drop("s_key")
+    last = filled.groupBy("token", "a", "b").applyInPandas(_open_groups(num, den), "u long, v long").distinct()
+    links = stash(links.union(_verify(last, sets, num, den, bound=False)), "links-3")
     roots = stash(components(links), "roots")
 
     # every class with its component's smallest doc_id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -38,6 +39,12 @@ def drop(*tables: DataFrame) -> None:
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *bases: str) -> list[str]:
     """Column names that ``df`` doesn't have, whatever the letters' case."""
     taken = {c.lower() for c in df.columns}
