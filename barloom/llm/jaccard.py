@@ -38,7 +38,7 @@ from barloom.llm.scratch import drop, fresh, release, stash
 from barloom.llm.words import Words, groups, mix, shingles
 
 _U = np.uint64
-HASHES, BLOCK, BITS = 6, 128, 4096
+HASHES, BLOCK, BITS = 6, 1024, 4096
 BROADCAST_ROWS = 2_000_000
 
 
@@ -176,12 +176,9 @@ def _hashes(k: int):
     return run
 
 
-_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-
-
 def _may_link(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sets of these sizes and parity bits can reach the threshold."""
-    apart = _ONES[bits ^ others].sum(-1, dtype=np.int64)
+    apart = np.bitwise_count(bits ^ others).sum(-1, dtype=np.int64)
     fits = den * np.minimum(n, m) >= num * np.maximum(n, m)
     return fits & (apart * (den + num) <= (n + m) * (den - num))
 
@@ -223,7 +220,7 @@ def _near(num: int, den: int):
             if not batch.num_rows:
                 continue
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("nu", "nv"))
-            bits, others = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bu", "bv"))
+            bits, others = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bu", "bv"))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(_may_link(n, bits, m, others, num, den)))
 
     return run
@@ -251,21 +248,23 @@ def _open_groups(num: int, den: int):
         one = not len(sides[1])
         sides[1] = sides[0] if one else sides[1]
         (key, comp, n, bits), (key2, comp2, m, bits2) = (
-            (x["key"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), np.frombuffer(b"".join(x["bits"]), np.uint8).reshape(-1, BITS // 8)) for x in sides
+            (x["key"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(-1, BITS // 64))
+            for x in (y.sort_values(["comp", "key"]) for y in sides)
         )
+        names, start, size = np.unique(comp2, return_index=True, return_counts=True)
+        every, some = np.bitwise_and.reduceat(bits2, start), np.bitwise_or.reduceat(bits2, start)
+        least, most = np.minimum.reduceat(m, start), np.maximum.reduceat(m, start)
         out = []
-        groups_of = [(c, np.flatnonzero(comp2 == c)) for c in np.unique(comp2)]
-        bounds = [(np.bitwise_and.reduce(bits2[at]), np.bitwise_or.reduce(bits2[at]), m[at].min(), m[at].max()) for _, at in groups_of]
         for i in range(len(key)):
-            for (c, at), (every, some, least, most) in zip(groups_of, bounds, strict=True):
-                if c == comp[i] or den * n[i] < num * least or den * most < num * n[i]:
-                    continue
-                # bits that differ from those of every member
-                apart = int(_ONES[(bits[i] & ~some) | (~bits[i] & every)].sum(dtype=np.int64))
-                if apart * (den + num) > (n[i] + most) * (den - num):
-                    continue
-                near = at[_may_link(np.full(len(at), n[i]), bits[i], m[at], bits2[at], num, den)]
-                out += [(min(key[i], k), max(key[i], k)) for k in key2[near] if not one or key[i] < k]
+            # bits that differ from those of every member of a group
+            apart = np.bitwise_count((bits[i] & ~some) | (~bits[i] & every)).sum(-1, dtype=np.int64)
+            opened = (names != comp[i]) & (den * n[i] >= num * least) & (den * most >= num * n[i]) & (apart * (den + num) <= (n[i] + most) * (den - num))
+            at = np.flatnonzero(np.repeat(opened, size))
+            if one:
+                at = at[key2[at] > key[i]]
+            if len(at):
+                near = at[_may_link(n[i], bits[i], m[at], bits2[at], num, den)]
+                out += [(min(key[i], k), max(key[i], k)) for k in key2[near]]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run
