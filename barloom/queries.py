@@ -248,7 +248,7 @@ on_bars(
     _chain(lambda b: ind.mom(b, "close"), lambda b: ind.roc(b, "close"), lambda b: ind.rocp(b, "close"), lambda b: ind.apo(b, "close"), lambda b: ind.ppo(b, "close"), ind.willr, ind.stochf, ind.cci, ind.bop),
     {
         "mom": f"close - {lag_sql('close', 10)}", "roc": f"100 * (close / {lag_sql('close', 10)} - 1)", "rocp": f"close / {lag_sql('close', 10)} - 1",
-        "apo": f"{full_sql('avg(close)', 'close', 12)} - {full_sql('avg(close)', 'close', 26)}", "ppo": f"100 * ({full_sql('avg(close)', 'close', 12)} - {full_sql('avg(close)', 'close', 26)}) / {full_sql('avg(close)', 'close', 26)}",
+        "apo": f"{full_sql('avg(close)', 'close', 12)} - {full_sql('avg(close)', 'close', 26)}", "ppo": f"100 * (({full_sql('avg(close)', 'close', 12)} - {full_sql('avg(close)', 'close', 26)}) / {full_sql('avg(close)', 'close', 26)})",
         "willr": f"-100 * ({full_sql('max(high)', 'high', 14)} - close) / nullif({full_sql('max(high)', 'high', 14)} - {full_sql('min(low)', 'low', 14)}, 0)",
         "stochf_k": "k", "stochf_d": full_sql("avg(k)", "k", 3),
         "cci": "case when pos >= 14 then (p - list_avg(l)) / nullif(0.015 * list_avg(list_transform(l, lambda x: abs(x - list_avg(l)))), 0) end",
