@@ -456,7 +456,8 @@ class IndicatorFactory:
                 raise TypeError("col_to_transform_mapping must be a dict")
             if unknown := set(mapping) - set(wanted):
                 raise ValueError(f"{func_name} has no arguments {sorted(unknown)}")
-        found = {n: n for n in wanted} | (mapping or {})
+        given = inspect.signature(self.get_ta_func(func_name)).parameters
+        found = {n: n if given[n].default is inspect.Parameter.empty else given[n].default for n in wanted} | (mapping or {})
         if "real" in wanted and "real" not in (mapping or {}):
             if not isinstance(col, str):
                 raise ValueError(f"{func_name} needs one column")

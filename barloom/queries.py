@@ -46,11 +46,12 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0
+    """Six decimals; what lies halfway, but for the last bits, goes up on both sides."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-10, 6) + 0.0
 
 
 def R(e: str) -> str:
-    return f"(round(({e})::double, 6) + 0.0)"
+    return f"(round(({e})::double + 1e-10::double, 6) + 0.0)"
 
 
 def full_sql(agg: str, x: str, n: int) -> str:
