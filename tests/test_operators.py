@@ -265,8 +265,7 @@ def test_cv_folds_and_merging():
 
 
 def test_cv_rounds_of_uneven_times(spark):
-    t = list(pd.date_range("2000-01-01", periods=11, freq="2h"))
-    t += [t[-1] + pd.Timedelta(minutes=59 * (k + 1)) for k in range(10)]
+    t = sorted([*pd.date_range("2000-01-01", periods=11, freq="2h"), *pd.date_range("2000-01-01", periods=10, freq="59min")])
     df = spark.createDataFrame(pd.DataFrame({"pred_time": t, "eval_time": [x + pd.Timedelta(hours=1) for x in t]}))
     rows = validation.CombPurgedKFold(4, 2).split(df).collect()
     pick = lambda r, role: sorted(x.pos for x in rows if x.round == r and x.role == role)
