@@ -2,7 +2,7 @@
 
 Grades come from ``labels``: 0 not toxic, 1 toxic, 2 toxic in a text that is also of low quality.  One weight vector is
 shared by all thresholds: P(grade >= k) = sigmoid(w.x - theta_k) with increasing theta; the expected severity is the sum
-of these probabilities.  Features are a text's distinct words and their first five, six and seven bytes, hashed;
+of these probabilities.  Features are a text's distinct words and their first three to seven bytes, hashed;
 those that tell toxic from other texts apart (|z| >= ``MIN_Z``) are kept.
 
 The model is fitted on a bounded sample: the ``max_rows`` labelled documents with the smallest seeded hash of doc_id
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from barloom.llm.scratch import drop, stash
 from barloom.llm.words import Words, groups, mix
 
-MAX_ROWS, MAX_FEATURES, MIN_Z, MIN_COUNT, GRADES = 20_000, 16_384, 4.0, 3, 3
-STARTS = (5, 6, 7)
+MAX_ROWS, MAX_FEATURES, MIN_Z, MIN_COUNT, GRADES, DECAY = 20_000, 16_384, 3.0, 3, 3, 2e-3
+STARTS = (3, 4, 5, 6, 7)
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
@@ -52,8 +52,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta[None] - score[:, None], -60, 60)))
 
 
-def fit(names: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> Model:
-    """Maximum penalized likelihood by full-batch gradient steps; ``rows`` are places in ``names``."""
+def fit(names: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, rounds: int = 300, decay: float = 1e-4, scale: np.ndarray | None = None) -> Model:
+    """Maximum penalized likelihood by full-batch gradient steps; ``rows`` are places in ``names``.
+
+    A weight is ``scale`` times the parameter that is penalized: telling features are held back less.
+    """
     k = GRADES - 1
     if not len(grades):
         return Model(names[:0], np.zeros(0), np.full(k, 60.0))
@@ -63,9 +66,10 @@ def fit(names: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, rounds: i
     start = -np.log(share / (1 - share))
     p = np.concatenate((np.zeros(len(names)), start[:1], np.log(np.maximum(np.diff(start), 0.05))))
     m, v, n = np.zeros_like(p), np.zeros_like(p), len(names)
+    scale = np.ones(n) if scale is None else scale
     for t in range(1, rounds + 1):
         theta = np.cumsum(np.concatenate((p[n : n + 1], np.exp(p[n + 1 :]))))
-        score = np.bincount(of, p[flat], len(rows))
+        score = np.bincount(of, (p[:n] * scale)[flat], len(rows))
         tail = 1 / (1 + np.exp(np.clip(theta[None] - score[:, None], -60, 60)))
         edge = np.concatenate((np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))), axis=1)
         own, above = edge[np.arange(len(rows)), grades], edge[np.arange(len(rows)), grades + 1]
@@ -76,12 +80,12 @@ def fit(names: np.ndarray, rows: list[np.ndarray], grades: np.ndarray, rounds: i
         by_theta[np.arange(len(rows)), grades + 1] -= above * (1 - above) / chance
         d = by_theta.mean(0)[1 : k + 1]
         grad = np.concatenate((
-            np.bincount(flat, slope[of], n)[:n] / len(rows) + decay * p[:n],
+            scale * np.bincount(flat, slope[of], n)[:n] / len(rows) + decay * p[:n],
             [d.sum()], [d[j + 1 :].sum() * np.exp(p[n + 1 + j]) for j in range(k - 1)],
         ))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model(names, p[:n], np.cumsum(np.concatenate((p[n : n + 1], np.exp(p[n + 1 :])))))
+    return Model(names, p[:n] * scale, np.cumsum(np.concatenate((p[n : n + 1], np.exp(p[n + 1 :])))))
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +123,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: st
     share = (F.col("a") + F.col("b")) / F.lit(float(good + bad))
     spread = F.sqrt(F.greatest(F.lit(float(bad)) * share * (1 - share) * F.lit(good / (good + bad)), F.lit(1e-9)))
     z = F.abs((F.col("a") - F.lit(float(bad)) * share) / spread)
-    told = counted.where(F.col("a") + F.col("b") >= MIN_COUNT).select("f", z.alias("z")).where(F.col("z") >= MIN_Z)
-    names = np.sort(np.array([r["f"] for r in told.orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()], np.int64).view(np.uint64))
+    told = counted.where(F.col("a") + F.col("b") >= MIN_COUNT).select("f", "a", "b", z.alias("z")).where(F.col("z") >= MIN_Z)
+    best = told.orderBy(F.desc("z"), "f").limit(MAX_FEATURES).toPandas()
+    names = best["f"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    odds = np.abs(np.log((best["a"].to_numpy() + 0.5) / (bad + 1)) - np.log((best["b"].to_numpy() + 0.5) / (good + 1)))
+    names, odds = names[order], odds[order]
     blank = Model(names, np.zeros(len(names)), np.zeros(GRADES - 1))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: st
 
     rows = sample.mapInArrow(placed, "grade long, at array<int>").collect()
     rows.sort(key=lambda r: (r["grade"], r["at"]))  # the fit doesn't depend on the order of arrival
-    model = fit(names, [np.array(r["at"], np.int64) for r in rows], np.array([r["grade"] for r in rows], np.int64))
+    model = fit(names, [np.array(r["at"], np.int64) for r in rows], np.array([r["grade"] for r in rows], np.int64), decay=DECAY, scale=odds)
     drop(picked, sample)
     return model
 

@@ -65,7 +65,15 @@ def test_plan_holds_all_pieces_with_little_waste(seed):
     counts = rng.integers(1, 5000, 60)
     plan = packing.solve(lengths, counts)
     assert (sum(p * n for p, n in plan) == counts).all() and all((p * lengths).sum() <= 2048 for p, _ in plan)
-    used = sum(n for _, n in plan)
-    assert used <= -(-int((lengths * counts).sum()) // 2048) * 1.02 + 40
+    left, first_fit = counts.copy(), 0  # largest first, patterns repeated while they last
+    while left.any():
+        room, pattern = 2048, np.zeros(60, int)
+        for i in range(59, -1, -1):
+            pattern[i] = min(left[i], room // lengths[i])
+            room -= pattern[i] * lengths[i]
+        n = min(left[i] // pattern[i] for i in range(60) if pattern[i])
+        left -= n * pattern
+        first_fit += n
+    assert sum(n for _, n in plan) <= first_fit + 60
     value, pattern = packing.price(np.array([3, 5]), np.array([3.0, 5.2]), 11)
     assert (pattern * [3, 5]).sum() <= 11 and value == pytest.approx(5.2 + 6)
