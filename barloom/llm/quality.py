@@ -109,9 +109,13 @@ def passes(bits: Column, version: str = CURRENT) -> Column:
 
 def keep_passing(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``."""
-    bits = fresh(docs, "fail_bits")[0]
+    bits, row = fresh(docs, "fail_bits", "row")
     judged = ledger(docs, docs.columns, text)
-    return judged.where(passes(F.col(bits), version)).select(*docs.columns)
+    if row in judged.columns:
+        row = fresh(judged, row)[0]
+    # a condition on the measurements would be moved below them, each copy measuring anew; one on a row number stays above
+    judged = judged.withColumn(row, F.monotonically_increasing_id())
+    return judged.where(passes(F.col(bits), version) & (F.col(row) >= 0)).select(*docs.columns)
 
 
 def ablation(book: DataFrame, version: str = CURRENT) -> DataFrame:
