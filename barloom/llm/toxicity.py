@@ -136,9 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: st
             rows = [blank.places(np.asarray(x.values).view(np.uint64)).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "at"])
 
-    rows = sample.mapInArrow(placed, "grade long, at array<int>").collect()
-    rows.sort(key=lambda r: (r["grade"], r["at"]))  # the fit doesn't depend on the order of arrival
-    model = fit(names, [np.array(r["at"], np.int64) for r in rows], np.array([r["grade"] for r in rows], np.int64), decay=DECAY, scale=odds)
+    rows = sample.mapInArrow(placed, "grade long, at array<int>").toArrow().combine_chunks()
+    grades, lists = rows.column("grade").to_numpy(), rows.column("at").combine_chunks()
+    ends, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+    places = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    order = np.lexsort(([int(x.sum(dtype=np.int64)) for x in places], [len(x) for x in places], grades))  # not that of arrival
+    model = fit(names, [places[i] for i in order], grades[order], decay=DECAY, scale=odds)
     drop(picked, sample)
     return model
 
