@@ -7,6 +7,8 @@ in both.  So a query that shares no token with a group can't reach any of its me
 
 1. Sizes fall into levels; each class is cut for its own level and for those above that a similar set may be on.  Segments with few shingles say little and would be shared by chance: enough spare segments
    are cut that equal ones can't all be among them; a set with too many of them is cut again by another hash.
+   What a set has left of spare segments also pays for tokens that many classes share, such as those of a common passage:
+   where all of these could be among the equal ones and one more is sure to remain, they are left out.
 2. Groups are formed around the member that shares most tokens with others: each class is compared with the hub of its
    tokens, and linked classes are joined (two rounds).
 3. What still stands apart in a token's row is grouped by component.  Groups keep what their members' sets have
@@ -28,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from barloom.llm.words import Words, groups, mix, shingles
 
 _U = np.uint64
 HASHES, BLOCK, BITS = 6, 1024, 4096
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, MANY = 2_000_000, 32
 
 
 @functools.lru_cache(maxsize=8)
@@ -54,22 +55,22 @@ def levels(num: int, den: int, most: int = 1 << 40) -> tuple[list[int], list[tup
         top = first[c + 1] - 1
         d = 2 * top * (den - num) // (den + num)
         plan = (d + 1, 0, 1)
-        for s in (5, 4, 3, 2):
-            m, mid = d + 1, first[c]
+        for s, cap in ((5, 1.35), (4, 1.35), (3, 1.35), (2, 1.35), (1, 1.6)):
+            m, mid = d + 1, first[c] * num / den  # the smallest sets that are cut for this level
             for _ in range(12):
                 rate = mid / m
                 q = sum(math.exp(-rate) * rate**j / math.factorial(j) for j in range(s)) if rate < 200 else 0.0
                 e = math.ceil(m * q + 2 * math.sqrt(m * q)) if m * q > 1e-3 else 0
                 m = d + 1 + e
-            if m <= 1.35 * (d + 1):
+            if m <= cap * (d + 1):
                 plan = (m, e, s)
                 break
         plans.append(plan if d else (0, 0, 0))
     return first, plans
 
 
-def _cut(h: np.ndarray, level: int, plan: tuple[int, int, int]) -> list[np.ndarray]:
-    """The tokens of a set at a level."""
+def _cut(h: np.ndarray, level: int, plan: tuple[int, int, int]) -> tuple[list[np.ndarray], int]:
+    """The tokens of a set at a level; and how many more of them could be left out with an equal one sure to remain (-1: none)."""
     m, spare, least = plan
     out, worth = [], mix(h + _U(0x632BE59BD9B4E019))
     for t in range(HASHES):
@@ -88,16 +89,17 @@ def _cut(h: np.ndarray, level: int, plan: tuple[int, int, int]) -> list[np.ndarr
         done = int(light.sum()) <= spare
         out.append(token if t == HASHES - 1 and not done else token[~light])
         if done:
-            break
-    return out
+            return out, spare - int(light.sum()) if t == 0 else -1
+    return out, -1
 
 
-def tokens(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A set's tokens at its level and those above that begin within its reach."""
+def tokens(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """A set's tokens at its level and those above that begin within its reach; and how many may be left out."""
     first, plans = levels(num, den)
     low, high = np.searchsorted(first, [len(h), len(h) * den // num], "right") - 1
-    parts = [x for k in range(int(low), int(high) + 1) if plans[k][0] for x in _cut(h, k, plans[k])]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    cuts = [_cut(h, k, plans[k]) for k in range(int(low), int(high) + 1) if plans[k][0]]
+    parts = [x for out, _ in cuts for x in out]
+    return (np.concatenate(parts), min(slack for _, slack in cuts)) if parts else (np.zeros(0, np.uint64), -1)
 
 
 def set_key(h: np.ndarray) -> int:
@@ -113,16 +115,19 @@ def _sets(k: int, num: int, den: int):
         seen: set[int] = set()
         for batch in batches:
             for first, texts in groups(batch.column(1)):
-                sizes, keys, cuts = [], [], []
+                sizes, keys, cuts, slacks = [], [], [], []
                 for h in shingles(Words(texts), k):
                     key = set_key(h) if len(h) else None
                     new = key is not None and key not in seen
                     seen.add(key)
                     sizes.append(len(h))
                     keys.append(key)
-                    cuts.append(tokens(h, num, den).view(np.int64) if new else None)
+                    found, slack = tokens(h, num, den) if new else (None, None)
+                    cuts.append(found.view(np.int64) if new else None)
+                    slacks.append(slack)
                 ids = batch.column(0).slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "tokens"])
+                cols = [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(cuts, pa.list_(pa.int64())), pa.array(slacks, pa.int32())]
+                yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n", "key", "tokens", "slack"])
 
     return run
 
@@ -237,35 +242,69 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool =
     return full.select("u", "v", "hu", "hv").mapInArrow(_alike(num, den), "u long, v long")
 
 
-def _open_groups(num: int, den: int):
-    """A block pair of a token's row -> the pairs of different components that the bounds leave open.
+SMALL = 4096
+
+
+def _opened(key: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A block pair of a token's row: the pairs of different components that the bounds leave open.
 
-    Members of one component are a group; the group's bound is the union of its members' bits that are set in all or none.
+    Members of one component are a group, bounded by the bits that are set in all or in some of them.
     """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(right)
+    right = left if one else right
+    if len(left) * len(right) <= SMALL:
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        apart = comp[i] != comp[j]
+        if one:
+            apart &= key[i] < key[j]
+        i, j = i[apart], j[apart]
+        near = _may_link(n[i], bits[i], n[j], bits[j], num, den)
+        return [(key[i[near]], key[j[near]])]
+    right = right[np.lexsort((key[right], comp[right]))]
+    key2, m, bits2 = key[right], n[right], bits[right]
+    names, start, size = np.unique(comp[right], return_index=True, return_counts=True)
+    every, some = np.bitwise_and.reduceat(bits2, start), np.bitwise_or.reduceat(bits2, start)
+    least, most = np.minimum.reduceat(m, start), np.maximum.reduceat(m, start)
+    out = []
+    for i in left:
+        # bits that differ from those of every member of a group
+        apart = np.bitwise_count((bits[i] & ~some) | (~bits[i] & every)).sum(-1, dtype=np.int64)
+        opened = (names != comp[i]) & (den * n[i] >= num * least) & (den * most >= num * n[i]) & (apart * (den + num) <= (n[i] + most) * (den - num))
+        at = np.flatnonzero(np.repeat(opened, size))
+        if one:
+            at = at[key2[at] > key[i]]
+        if len(at):
+            near = at[_may_link(n[i], bits[i], m[at], bits2[at], num, den)]
+            out.append((np.full(len(near), key[i]), key2[near]))
+    return out
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame[frame["side"] == s] for s in (0, 1)]
-        one = not len(sides[1])
-        sides[1] = sides[0] if one else sides[1]
-        (key, comp, n, bits), (key2, comp2, m, bits2) = (
-            (x["key"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(-1, BITS // 64))
-            for x in (y.sort_values(["comp", "key"]) for y in sides)
-        )
-        names, start, size = np.unique(comp2, return_index=True, return_counts=True)
-        every, some = np.bitwise_and.reduceat(bits2, start), np.bitwise_or.reduceat(bits2, start)
-        least, most = np.minimum.reduceat(m, start), np.maximum.reduceat(m, start)
-        out = []
-        for i in range(len(key)):
-            # bits that differ from those of every member of a group
-            apart = np.bitwise_count((bits[i] & ~some) | (~bits[i] & every)).sum(-1, dtype=np.int64)
-            opened = (names != comp[i]) & (den * n[i] >= num * least) & (den * most >= num * n[i]) & (apart * (den + num) <= (n[i] + most) * (den - num))
-            at = np.flatnonzero(np.repeat(opened, size))
-            if one:
-                at = at[key2[at] > key[i]]
-            if len(at):
-                near = at[_may_link(n[i], bits[i], m[at], bits2[at], num, den)]
-                out += [(min(key[i], k), max(key[i], k)) for k in key2[near]]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+def _open_groups(num: int, den: int):
+    """Rows (token, a, b, side, key, comp, n, bits) sorted by block pair -> open pairs (u, v), smaller key first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ("token", "a", "b", "side", "key", "comp", "n"), None
+
+        def out(cols: list[np.ndarray], bits: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+            found = [x for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in _opened(cols[4][s:e], cols[5][s:e], cols[6][s:e], bits[s:e], cols[3][s:e], num, den)]
+            u, v = (np.concatenate([x[k] for x in found] + [np.zeros(0, np.int64)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            if held:
+                cols, bits = [np.concatenate(x) for x in zip(held[0], cols, strict=True)], np.concatenate((held[1], bits))
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
+            last = int(new[-1]) if len(new) else 0
+            if last:
+                yield out(cols, bits, np.concatenate(([0], new)))
+            held = [c[last:] for c in cols], bits[last:]
+        if held:
+            yield out(*held, np.array([0, len(held[1])]))
 
     return run
 
@@ -291,16 +330,26 @@ def _hubs(rows: DataFrame, weight: DataFrame) -> DataFrame:
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. Documents link when den * common >= num * union."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, n long, key long, tokens array<long>"), "sets")
+    base = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, n long, key long, tokens array<long>, slack int"), "sets")
     rows = base.where("tokens is not null").select(F.explode("tokens").alias("token"), "key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrix = stash(rows.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_runs, "token long, key long"), "matrix")
     del rows
-    cut, base = base, stash(base.select("doc_id", "n", "key"), "classes")
+    cut, base = base, stash(base.select("doc_id", "n", "key", "slack"), "classes")
     drop(cut)
     del cut
     release(docs.sparkSession)  # the tokens' shuffle
 
+    # tokens of many classes (a passage that documents share) are left out where an equal token of few is sure to remain
+    many = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select(F.col("token").alias("t"), "c")
+    sized = stash(matrix.join(many, F.col("token") == F.col("t")).drop("t"), "sized")
+    slack = base.where("slack is not null").groupBy("key").agg(F.min("slack").alias("slack"))
+    burden = sized.groupBy("key").agg(F.count(F.when(F.col("c") > MANY, 1)).alias("heavy")).join(slack, "key")
+    burden = burden.select(F.col("key").alias("b_key"), (F.col("heavy") <= F.col("slack")).alias("spared"))
+    kept = sized.join(burden, F.col("key") == F.col("b_key")).where(~((F.col("c") > MANY) & F.col("spared")))
+    whole, matrix = matrix, stash(kept.select("token", "key"), "matrix-kept")
+    drop(whole, sized)
+
     # the sets of classes that share a token with another
     first = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     wanted = stash(first.join(matrix.select("key").distinct(), "key", "left_semi").select("rep", F.col("key").alias("want")), "wanted")
@@ -343,7 +392,8 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str =
     dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("token", "key", "comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     filled = dealt.join(sets.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key")).drop("s_key")
-    last = filled.groupBy("token", "a", "b").applyInPandas(_open_groups(num, den), "u long, v long").distinct()
+    filled = filled.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b")
+    last = filled.select("token", "a", "b", "side", "key", "comp", "n", "bits").mapInArrow(_open_groups(num, den), "u long, v long").distinct()
     links = stash(links.union(_verify(last, sets, num, den, bound=False)), "links-3")
     roots = stash(components(links), "roots")
 
