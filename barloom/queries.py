@@ -17,6 +17,7 @@ from barloom.operators import align, bars, bet_sizing, breaks, ensemble, labels,
 from barloom.plans.strategy import StrategySignalPipeline, StrategyTrader, feature_union
 from barloom.schema import from_millis, identity, nan_to_null, to_millis
 from barloom.sources.events import ticks
+from barloom.sources.lineitem import trades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +107,21 @@ register(
     f"with {TICKS} select event_id, epoch_ms(ts)::bigint as millis, ts as back, price from ticks",
 )
 
+_IMB = "base_asset_buy_volume - base_asset_sell_volume"
+_VPIN0 = f"{full_sql(f'sum(abs({_IMB}))', _IMB, 20)} / ({full_sql('sum(base_asset_volume)', 'base_asset_volume', 20)})"
+_VPIN = f"case when pos > 20 then coalesce({_VPIN0}, 0) else {_VPIN0} end"
+_TRADES = """trades as (select l_suppkey::varchar as series_id, l_orderkey * 10 + l_linenumber as event_id, l_shipdate::timestamp as ts, l_extendedprice / l_quantity as price,
+  l_quantity as qty, l_returnflag <> 'R' as is_buy from lineitem)"""
+_UNIT = "date_trunc('day', ts) as unit"
+_DAILY = f"{_TRADES}, bars as ({_bars_sql(_UNIT, 'trades')})"
+register("bars_daily_lineitem", lambda s, d: _shown_bars(bars.time_bars(trades(s, d), "day")), f"with {_DAILY} select series_id, ts, {_SHOWN} from bars")
+register(
+    "vpin_daily_lineitem",
+    lambda s, d: microstructure.vpin(bars.time_bars(trades(s, d), "day")).select("series_id", "ts", r("vpin").alias("vpin")),
+    f"with {_DAILY}, b as (select *, row_number() over (partition by series_id order by ts) as pos from bars) select series_id, ts, {R(_VPIN)} as vpin from b",
+)
+
+
 # Rolling features
 
 _Z = {
@@ -142,9 +158,6 @@ on_bars("corwin_schultz_spread", microstructure.corwin_schultz_spread, {"corwin_
 on_bars("beckers_parkinson_volatility", microstructure.beckers_parkinson_volatility, {"beckers_parkinson": "case when s0 < 0 then 0 else s0 end"}, _RANGE, "x4")
 for _name, _op, _e in (("kyle_lambda", microstructure.kyle_lambda, "abs(d) / base_asset_volume"), ("amihud_lambda", microstructure.amihud_lambda, "abs(l) / quote_asset_volume"), ("hasbrouck_lambda", microstructure.hasbrouck_lambda, "abs(l) / sqrt(quote_asset_volume)")):
     on_bars(_name, _op, {_name: full_sql("avg(x)", "x", 20)}, f"{_D},\nx as (select *, {_e} as x from d2)", "x")
-_IMB = "base_asset_buy_volume - base_asset_sell_volume"
-_VPIN0 = f"{full_sql(f'sum(abs({_IMB}))', _IMB, 20)} / ({full_sql('sum(base_asset_volume)', 'base_asset_volume', 20)})"
-_VPIN = f"case when pos > 20 then coalesce({_VPIN0}, 0) else {_VPIN0} end"
 on_bars("vpin", microstructure.vpin, {"vpin": _VPIN})
 on_bars("flagship", lambda b: microstructure.vpin(microstructure.roll_measure(b)), {"vpin": _VPIN, "roll_measure": _ROLL}, _D, "d2", _W20)
 
