@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.scratch import drop, fresh, release, stash
+from barloom.llm.scratch import drop, fresh, stash
 from barloom.llm.words import Words, groups, mix, shingles
 
 _U = np.uint64
-HASHES, BLOCK, BITS = 6, 1024, 4096
+HASHES, BLOCK, BITS = 6, 1024, 2048
 BROADCAST_ROWS, MANY = 2_000_000, 32
 
 
@@ -159,7 +159,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def parity(h: np.ndarray) -> bytes:
     """For each of ``BITS`` parts of the hash range whether it holds an odd number: sets differ by as many shingles at least
     as these bits differ."""
-    return np.packbits((np.bincount((h >> _U(64 - 12)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((h >> _U(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _hashes(k: int):
@@ -338,7 +338,6 @@ def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str =
     cut, base = base, stash(base.select("doc_id", "n", "key", "slack"), "classes")
     drop(cut)
     del cut
-    release(docs.sparkSession)  # the tokens' shuffle
 
     # tokens of many classes (a passage that documents share) are left out where an equal token of few is sure to remain
     many = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select(F.col("token").alias("t"), "c")

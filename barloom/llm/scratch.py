@@ -20,10 +20,11 @@ def root(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and its shuffles can go."""
     spark = df.sparkSession
     path = f"{root(spark)}/barloom/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
     return out
