@@ -35,6 +35,16 @@ class Gru:
         self.p["cb"][:] = np.log(mass / mass.sum())
         self.p["wb"][:] = np.log(words / words.sum(1, keepdims=True))
 
+    def flat(self) -> np.ndarray:
+        """All parameters in one row."""
+        return np.concatenate([w.ravel() for w in self.p.values()])
+
+    def set_flat(self, row: np.ndarray) -> None:
+        at = 0
+        for w in self.p.values():
+            w[...] = row[at : at + w.size].reshape(w.shape)
+            at += w.size
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.classes * self.size, ids // self.size, ids - self.classes * (self.size - 1))
 
@@ -134,7 +144,9 @@ class Gru:
                     g["u"] += before.T @ inner
                     back = (d * z + inner @ self.p["u"].T) * (xs[i] != end)[:, None]
                 flat = gates.reshape(-1, 3 * k)
-                np.add.at(g["x"], xs.ravel(), flat)
+                order = np.argsort(xs.ravel(), kind="stable")
+                names, first = np.unique(xs.ravel()[order], return_index=True)
+                g["x"][names] = np.add.reduceat(flat[order], first)
                 g["b"] += flat.sum(0)
                 t += 1
                 pace = rate * max(0.1, 1 - t / (steps + 1))

@@ -6,9 +6,11 @@ frequent words and the end; any other word belongs to one of a few rare classes
 punctuation at its end, with symbols) and within it has chance (c + 1) / (N_r + V_r + 1).  So all texts have a
 proper probability, words never seen included.
 
-The network's weights are fitted on a bounded sample: the ``max_docs`` training documents with the smallest seeded hash of
-doc_id, whole.  Counts, vocabulary and output biases come from all training documents.  Scoring carries the state
-through each whole document.
+The network learns from every training document.  It starts from ``epochs`` passes on the driver over a bounded sample,
+the ``max_docs`` training documents with the smallest seeded hash of doc_id, whole; then all training documents are dealt
+by their hash to shares of about ``SHARE`` tokens, each share trains its own copy in one task, and the copies are averaged
+by their tokens.  So the tasks grow with the corpus, and the memory of a task doesn't.  Counts, vocabulary and output
+biases come from all training documents.  Scoring carries the state through each whole document.
 
 Counts of frequent words (at most ``TABLE`` of them, by a count threshold) are sent to all tasks; other words are looked
 up by a join on their hash, so the vocabulary may grow without bound.  Words are told apart by 64-bit hashes.
@@ -19,6 +21,7 @@ without training documents N and V are 0; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ from barloom.llm.words import Words, groups
 
 CLASSES, SIZE, HIDDEN, RARE = 64, 64, 24, 8
 TABLE, MAX_DOCS, EPOCHS, SEED = 1 << 18, 2000, 2, "lm-1"
+SHARE, LANES, PIECES = 1 << 22, 128, 16
 MODULUS, HELD = 7, 2
 END_HASH = 0x454E44  # no word's: hashes are mixed, and the end is counted under this number alone
 
@@ -141,17 +145,58 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(h, n.astype(np.float64), k, ids, tokens, distinct, rare_t, rare_v), low
 
 
-def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: str) -> Gru:
-    """The network, trained on a bounded sample of whole documents on the driver."""
+def _coded(words):
+    """(turn, ids): a document's network ids and its end as 16-bit numbers."""
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in groups(batch.column(1)):
                 w = Words(texts)
-                ids = words.network_ids(w)[0].astype(np.int32)
-                rows = [np.append(ids[a : a + n], np.int32(0)) for a, n in zip(w.begin[:-1], w.counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(rows, pa.list_(pa.int32()))], names=["turn", "ids"])
+                ids = words.value.network_ids(w)[0].astype(np.int16)
+                rows = [np.append(ids[a : a + n], np.int16(0)).tobytes() for a, n in zip(w.begin[:-1], w.counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(rows, pa.binary())], names=["turn", "ids"])
+
+    return run
+
+
+def _learn(net):
+    """(piece, turn, tokens, weights) of a copy of the network that was trained on the task's documents, all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[np.ndarray] = []
+        turn = None
+        for batch in batches:
+            turn = batch.column(0)[0].as_py() if turn is None and len(batch) else turn
+            docs += [np.frombuffer(x.as_py(), np.int16) for x in batch.column(1)]
+        if not docs:
+            return
+        own = copy.deepcopy(net.value)  # workers are used again, so the one that was sent stays as it is
+        tokens = sum(map(len, docs))
+        own.train(docs, 0, 1, lanes=min(LANES, max(8, tokens >> 13)))  # fewer lanes make more steps of a small share
+        for k, part in enumerate(np.array_split(own.flat(), PIECES)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.array([turn], pa.int64()), pa.array([tokens], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["piece", "turn", "tokens", "weights"]
+            )
 
+    return run
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, weights): means of the copies' weights, by their tokens."""
+    sums: dict[int, np.ndarray] = {}
+    tokens: dict[int, int] = {}
+    for batch in batches:
+        for k, _, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[k] = sums.get(k, 0.0) + np.frombuffer(part, np.float32).astype(np.float64) * n
+            tokens[k] = tokens.get(k, 0) + n
+    if sums:
+        rows = [(x / tokens[k]).astype(np.float32).tobytes() for k, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "weights"])
+
+
+def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: str) -> Gru:
+    """The network: started on a bounded sample of whole documents on the driver, then trained on all documents in tasks."""
+    spark = docs.sparkSession
     turn = F.xxhash64(F.lit(seed), "doc_id")
     last = docs.select(turn.alias("turn")).orderBy("turn").limit(max_docs).agg(F.max("turn")).first()[0]
     net = Gru(CLASSES, SIZE, RARE, HIDDEN)
@@ -161,9 +206,17 @@ def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: st
     net.start_from(counts)
     if last is None:
         return net
-    rows = docs.where(turn <= last).select(turn.alias("turn"), "text").mapInArrow(coded, "turn long, ids array<int>").collect()
-    rows.sort(key=lambda r: (r["turn"], r["ids"]))
-    net.train([np.array(r["ids"], np.int64) for r in rows[:max_docs]], 0, epochs)
+    sent = spark.sparkContext.broadcast(words)
+    coded = lambda rows: rows.select(turn.alias("turn"), "text").mapInArrow(_coded(sent), "turn long, ids binary")
+    rows = [(r["turn"], bytes(r["ids"])) for r in coded(docs.where(turn <= last)).collect()]
+    rows.sort()
+    net.train([np.frombuffer(ids, np.int16) for _, ids in rows[:max_docs]], 0, epochs)
+    shares = -(-words.tokens // SHARE)
+    dealt = coded(docs).repartition(shares, "turn", "ids").sortWithinPartitions("turn", "ids")
+    learned = dealt.mapInArrow(_learn(spark.sparkContext.broadcast(net)), "piece int, turn long, tokens long, weights binary")
+    means = learned.repartition(PIECES, "piece").sortWithinPartitions("piece", "turn").mapInArrow(_mean, "piece int, weights binary").collect()
+    net = copy.deepcopy(net)
+    net.set_flat(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(means, key=lambda r: r["piece"])]))
     return net
 
 

@@ -50,6 +50,15 @@ def test_rare_words_by_join(spark, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9)
 
 
+def test_learns_from_all_documents(spark, monkeypatch):
+    """What only documents outside the starting sample show is learned, whatever the number of shares."""
+    texts = [(k, "one two three four five six seven eight " * 40) for k in range(600)]
+    for share in (1 << 22, 60_000):
+        monkeypatch.setattr(lm, "SHARE", share)
+        rows = lm.score(docs_of(spark, texts), max_docs=2, epochs=1).collect()
+        assert sum(r.score for r in rows) > 0.5 * sum(r.base_score for r in rows)
+
+
 def test_probabilities_sum_to_one():
     net = Gru(3, 4, 2, 5, seed=1)
     h = np.random.default_rng(0).standard_normal((1, 5)).astype(np.float32)
