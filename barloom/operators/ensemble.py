@@ -1,11 +1,12 @@
 """Sequential bootstrap and bagging of trees on its draws.
 
-A bag's draws depend on each other, so a bag is one task; bags run in parallel.  Intervals are pairs of bar positions and
+A bag's draws depend on each other, so a bag of a series is one task; bags and series run in parallel.  Intervals are pairs of bar positions and
 uniqueness comes from running sums over bars, so no indicator matrix is built.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,11 +62,32 @@ def _share(value: int | float, n: int, name: str) -> int:
     return out
 
 
+def bootstrap_series(intervals: DataFrame, bags: int, size: int | float = 1.0, seed: int = 0, update_every: int = 1) -> DataFrame:
+    """(series_id, bag, event, times) of ``bags`` bags of each series; intervals: series_id, event, start, end.
+
+    ``size`` is a count, or a share of a series' events; a series gives one draw at least.
+    """
+    if isinstance(size, float) and not 0 < size <= 1:
+        raise ValueError("a share must lie in (0, 1]")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("event")
+        start, end = (rows[c].to_numpy(np.int64) - rows["start"].min() for c in ("start", "end"))
+        count = max(1, int(size * len(rows))) if isinstance(size, float) else _share(size, len(rows), "size")
+        drawn = sequential_bootstrap(start, end, count, np.random.default_rng((seed, key[1], zlib.crc32(str(key[0]).encode()))), update_every)
+        place, times = np.unique(drawn, return_counts=True)
+        return pd.DataFrame({"series_id": key[0], "bag": key[1], "event": rows["event"].to_numpy()[place], "times": times})
+
+    each = intervals.select("series_id", "event", "start", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bags - 1).cast("long"))).alias("bag"))
+    return each.groupBy("series_id", "bag").applyInPandas(run, "series_id string, bag long, event long, times long")
+
+
 @dataclass
 class SequentiallyBootstrappedBagging:
     """Decision trees on sequentially bootstrapped samples; probabilities are averaged.
 
-    ``train`` needs an ``event`` number for each row of ``intervals``.  A draw's multiplicity is the row's weight.
+    ``train`` needs an ``event`` number for each row of ``intervals``; where these are a DataFrame with series, it needs
+    ``series_id`` too, and each series gives its own draws (``max_samples`` is taken of its events).  A draw's multiplicity is the row's weight.
     """
 
     features: list[str]
@@ -82,29 +104,34 @@ class SequentiallyBootstrappedBagging:
     trees: list = field(default_factory=list)
     oob_accuracy: float | None = None
 
-    def fit(self, train: DataFrame, intervals: pd.DataFrame, weight: str | None = None) -> SequentiallyBootstrappedBagging:
+    def fit(self, train: DataFrame, intervals: pd.DataFrame | DataFrame, weight: str | None = None) -> SequentiallyBootstrappedBagging:
         if self.n_estimators < 1:
             raise ValueError("n_estimators must be positive")
         if self.warm_start and self.oob_score:
             raise ValueError("out-of-bag scores need a fit from the start")
         if self.warm_start and self.n_estimators < len(self.trees):
             raise ValueError("a warm start can't drop trees")
-        n = len(intervals)
-        size, width = _share(self.max_samples, n, "max_samples"), _share(self.max_features, len(self.features), "max_features")
+        width = _share(self.max_features, len(self.features), "max_features")
+        one = isinstance(intervals, pd.DataFrame)
+        size = _share(self.max_samples, len(intervals), "max_samples") if one else self.max_samples
         if not self.warm_start:
             self.trees = []
         new = range(len(self.trees), self.n_estimators)
-        draws = bootstrap_bags(train.sparkSession, intervals, self.n_estimators, size, self.seed, self.update_every).cache()
+        if one:
+            draws = bootstrap_bags(train.sparkSession, intervals, self.n_estimators, size, self.seed, self.update_every).cache()
+        else:
+            draws = bootstrap_series(intervals, self.n_estimators, size, self.seed, self.update_every).cache()
+        key = ["event"] if one else ["series_id", "event"]
         for bag in new:
             names = [self.features[i] for i in draw_features(np.random.default_rng((self.seed, 1, bag)), self.bootstrap_features, len(self.features), width)]
             names = list(dict.fromkeys(names))
-            rows = train.join(draws.where(F.col("bag") == bag).drop("bag"), "event")
+            rows = train.join(draws.where(F.col("bag") == bag).drop("bag"), key)
             rows = rows.withColumn("__w", F.col("times").cast("double") * (F.col(weight) if weight else F.lit(1.0)))
             rows = VectorAssembler(inputCols=names, outputCol="__x").transform(rows).where("__w > 0")
             tree = DecisionTreeClassifier(featuresCol="__x", labelCol=self.label, weightCol="__w", maxDepth=self.max_depth, seed=self.seed + bag).fit(rows)
             self.trees.append((names, tree))
         if self.oob_score:
-            self._score(train, draws)
+            self._score(train, draws, key)
         draws.unpersist()
         return self
 
@@ -126,10 +153,10 @@ class SequentiallyBootstrappedBagging:
         work = work.withColumn(out, mean)
         return work.withColumn("prediction", (F.array_position(out, F.array_max(out)) - 1).cast("double")).drop(*[f"__p{b}" for b in range(len(self.trees))])
 
-    def _score(self, train: DataFrame, draws: DataFrame) -> None:
+    def _score(self, train: DataFrame, draws: DataFrame, key: list[str]) -> None:
         """Accuracy of the votes of trees that haven't seen a row; rows that all have seen don't count."""
-        seen = draws.groupBy("event").agg(F.collect_set("bag").alias("__bags"))
-        work = train.join(seen, "event", "left")
+        seen = draws.groupBy(*key).agg(F.collect_set("bag").alias("__bags"))
+        work = train.join(seen, key, "left")
         for bag in range(len(self.trees)):
             work = self._votes(work, bag)
         unseen = lambda b: ~F.coalesce(F.array_contains("__bags", b), F.lit(False))

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -422,14 +421,30 @@ for _name, _c in (("weights_by_time_decay", 0.4), ("weights_by_time_decay_cut",
     )
 
 
-def _numbered_events(spark: SparkSession, sf_dir: str, series: str = "view") -> pd.DataFrame:
-    """All intervals of one series as bar positions; a bag's draws need them together in one task."""
-    b = hourly(spark, sf_dir).where(F.col("series_id") == series).withColumn("n", F.row_number().over(by_series()))
-    top = b.where(F.col("n") % 3 == 0).select(F.col("n").cast("long").alias("start")).orderBy("start").toPandas()
-    return top.assign(end=top["start"] + 8)
+def _every_bar(name: str, run: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """The query ``name`` with an event at every bar; its own statement differs from the other one in that alone."""
+    register(f"{name}_every_bar", lambda s, d: (lambda b: run(events_of(b, 1), b))(hourly(s, d)), ORACLES[name].replace("qualify pos % 3 = 0 and lead", "qualify lead"))
 
 
-register("sequential_bootstrap", lambda s, d: ensemble.bootstrap_bags(s, _numbered_events(s, d), 4, 50, seed=7, update_every=5))
+def _out(op: Callable[[DataFrame, DataFrame], DataFrame], out: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda e, b: op(e, b).select("series_id", "start_ts", "end_ts", r(out).alias(out))
+
+
+_every_bar("concurrency", lambda e, b: sampling.concurrency(e, b).select("series_id", "ts", F.col("concurrency").cast("long").alias("concurrency")))
+_every_bar("average_uniqueness", _out(sampling.average_uniqueness, "uniqueness"))
+_every_bar("conditional_uniqueness", _out(lambda e, b: sampling.conditional_uniqueness(e, e.where(F.minute("start_ts") < 20), b), "uniqueness"))
+_every_bar("weights_by_returns", _out(sampling.weights_by_returns, "weight"))
+_every_bar("weights_by_time_decay", _out(lambda e, b: sampling.weights_by_time_decay(e, b, 0.4), "weight"))
+_every_bar("weights_by_time_decay_cut", _out(lambda e, b: sampling.weights_by_time_decay(e, b, -0.3), "weight"))
+
+
+def _numbered(b: DataFrame) -> DataFrame:
+    """Bars with an interval each, as positions in their series: from the bar to the eighth after it."""
+    n = F.row_number().over(by_series()).cast("long")
+    return b.withColumn("event", n - 1).withColumn("start", n).withColumn("end", n + 8)
+
+
+register("sequential_bootstrap", lambda s, d: ensemble.bootstrap_series(_numbered(hourly(s, d)), 4, 1.0, seed=7, update_every=5))
 
 # Bet sizes
 
@@ -535,7 +550,10 @@ _CV = validation.CombPurgedKFold(6, 2, 3 * 3_600_000_000)
 
 
 def _cv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = hourly(spark, sf_dir).where(F.col("series_id") == "view").select("ts")
+    return _samples_of(hourly(spark, sf_dir).where(F.col("series_id") == "view"))
+
+
+def _samples_of(b: DataFrame) -> DataFrame:
     return b.select(F.col("ts").alias("pred_time"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("eval_time"))
 
 
@@ -558,7 +576,11 @@ register("cv_split", lambda s, d: _CV.split(_cv_samples(s, d)).select(F.col("rou
 
 
 def _cv_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = hourly(spark, sf_dir).where(F.col("series_id") == "view").select(F.col("ts").alias("pred_time"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("eval_time"), "close")
+    return _paths_of(hourly(spark, sf_dir).where(F.col("series_id") == "view"))
+
+
+def _paths_of(b: DataFrame) -> DataFrame:
+    b = b.select(F.col("ts").alias("pred_time"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("eval_time"), "close")
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         mean = train.agg(F.avg("close").alias("prediction"))
@@ -569,16 +591,29 @@ def _cv_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("cv_paths", _cv_paths, f"with {BARS} select p::int as path, (select count(*) from b where series_id = 'view')::bigint as rows from range(3) t(p)")
 
+# The same over the bars of all series in one order
+
+
+def _cv_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths_of(hourly(spark, sf_dir))
+
+
+register(
+    "cv_split_all_series",
+    lambda s, d: _CV.split(_samples_of(hourly(s, d))).select(F.col("round").cast("int").alias("round"), F.col("pos").cast("int").alias("pos"), "role"),
+    ORACLES["cv_split"].replace("from b where series_id = 'view'", "from b"),
+)
+register("cv_paths_all_series", _cv_paths_all, ORACLES["cv_paths"].replace("from b where series_id = 'view'", "from b"))
+
 # Ensemble
 
 
 def _bagging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _numbered_events(spark, sf_dir)
-    b = hourly(spark, sf_dir).where(F.col("series_id") == "view").withColumn("n", F.row_number().over(by_series()))
-    b = b.withColumn("ahead", F.lead("close", 8).over(by_series()))
-    rows = b.where(F.col("n") % 3 == 0).select((F.col("n") / 3 - 1).cast("long").alias("event"), "close", "base_asset_volume", "num_ticks", (F.col("ahead") > F.col("close")).cast("double").alias("label")).na.drop()
-    model = ensemble.SequentiallyBootstrappedBagging(["close", "base_asset_volume", "num_ticks"], n_estimators=3, max_samples=0.5, max_features=2, update_every=10).fit(rows, events)
-    return model.predict_proba(rows).select("event", "label", "probability", "prediction")
+    ahead = F.lead("close", 8).over(by_series())
+    b = _numbered(hourly(spark, sf_dir)).withColumn("label", (ahead > F.col("close")).cast("double"))
+    rows = b.select("series_id", "event", "start", "end", "close", "base_asset_volume", "num_ticks", "label").na.drop()  # the last eight have no label
+    model = ensemble.SequentiallyBootstrappedBagging(["close", "base_asset_volume", "num_ticks"], n_estimators=3, max_samples=0.5, max_features=2, update_every=10)
+    return model.fit(rows, rows).predict_proba(rows).select("series_id", "event", "label", "probability", "prediction")
 
 
 register("sequential_bagging", _bagging)
