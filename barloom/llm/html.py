@@ -2,7 +2,9 @@
 
 Paragraphs pass points for length and commas to their ancestors: all of them to the parent, half to the
 grandparent, a share that falls with distance above.  A container's points are discounted by its link density; the best
-one is kept with those siblings that score well enough or are plain paragraphs.
+one is found.  The article or main element around it is kept whole; where there is none, the headings, paragraphs, lists, tables,
+figures, sections and texts beside it and beside its ancestors are kept too if few of their letters are linked.  Siblings
+that score well enough or are plain paragraphs are always kept.
 
 Defined results: a null or empty page gives an empty text; pages without scored paragraphs give what is left
 of the body; ties go to the container that comes first; repeated rows are extracted each; an empty table gives an
@@ -29,7 +31,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 KEEPERS = frozenset("article body html main".split())
 WORTH = {"article": 25, "main": 20, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "address": -3, "th": -5}
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
-MIN_PARAGRAPH = 25
+CONTENT = frozenset("p pre blockquote ul ol dl table figure section hgroup details h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+MIN_PARAGRAPH, MAX_LINKED = 25, 0.33
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.IGNORECASE)
@@ -203,21 +207,46 @@ def _best(nodes: list[Node]) -> Node | None:
     return best
 
 
-def _kept(best: Node) -> list[Node]:
-    """The best container and the siblings that belong to it."""
-    if best.parent is None:
-        return [best]
-    least, out = max(10.0, best.score * 0.2), []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            continue
-        plain = c.tag == "p" and (c.length > 80 and _density(c) < 0.25 or 0 < c.length <= 80 and not c.linked and "." in _own_text(c)[0])
-        if c is best or c.scored and c.score >= least or plain:
-            out.append(c)
+def _content(c: Node) -> bool:
+    """Whether a neighbour of the main text looks like a part of it."""
+    if not c.length or c.tag not in HEADINGS and _density(c) > MAX_LINKED:
+        return False
+    if c.tag in CONTENT or c.tag not in BLOCK:
+        return True
+    return any(x.tag in CONTENT for x in _order(c))  # a div of bare words is seldom a part
+
+
+def _kept(best: Node) -> list[Node | str | None]:
+    """What belongs to the article, in page order; None ends a line."""
+    least, top = max(10.0, best.score * 0.2), best
+    while top is not None and top.tag not in ("article", "main"):
+        top = top.parent
+    whole = top is not None
+    node = top if whole else best
+    out: list[Node | str | None] = [node]
+    while node.parent is not None:
+        before, after = [], []
+        side = before
+        for c in node.parent.children:
+            if c is node:
+                side = after
+            elif isinstance(c, str):
+                if not whole and node.tag != "td":
+                    side.append(c)
+            else:
+                plain = c.tag == "p" and (c.length > 80 and _density(c) < 0.25 or 0 < c.length <= 80 and not c.linked and "." in _own_text(c)[0])
+                near = node.tag not in ("td", "th", "tr") and _content(c)  # cells and rows beside it are columns of the page
+                if plain or c.scored and c.score >= least or near and not whole:
+                    side.append(c)
+        if before or after:
+            out = [*before, None, *out, None, *after]
+        if whole:
+            break
+        node = node.parent
     return out
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list[Node | str | None]) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 

@@ -35,6 +35,18 @@ def test_layouts(page):
     assert html.main_text(page) == WANT
 
 
+LONG = f"{PROSE} {PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class=post><h1>Title</h1><div class=entry-content><p>{LONG}</p><p>{LONG}</p></div><ul><li>One item</li></ul></div>",
+    f"<article><h1>Title</h1><section>{f'<p>{LONG}</p>' * 2}</section><section><ul><li>One item</ul></section></article>",
+    f"<div><ul><li><a href=/>Home</a></ul><div><div><h2>Title</h2></div><div><p>{LONG}<p>{LONG}</div><table><tr><td>One item</table></div></div><div>Site words</div>",
+])
+def test_nested_layouts_stay_whole(page):
+    assert html.main_text(page) == "\n".join(["Title", LONG, LONG, "One item"])
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<p>x &lt;b&gt; &#233; &nope; y</p>", "x <b> é &nope; y"), ("<script>alert(1)", ""), ("< not a tag", "< not a tag"),
     ("<div hidden>gone</div><p>here</p>", "here"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>a<br>b</p>", "a b"),
