@@ -53,7 +53,10 @@ class Node:
 
 
 def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Page furniture by element, role, or the words of its class and id."""
+    """Page furniture by element, role, or the words of its class and id.
+
+    Ids of headings and paragraphs, and all ids in an article, are places in the text whose names come from titles.
+    """
     if tag in DROPPED or tag == "header" and not inside_article:
         return True
     if not attrs or tag in KEEPERS:
@@ -66,6 +69,8 @@ def _unwanted(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
+        if name == "id" and (inside_article or tag == "p" or tag in HEADINGS):
+            continue
         if name in ("class", "id") and not FURNITURE.isdisjoint(w.lower() for w in _WORDS.findall(value)):
             return True
     return False

@@ -47,6 +47,12 @@ def test_nested_layouts_stay_whole(page):
     assert html.main_text(page) == "\n".join(["Title", LONG, LONG, "One item"])
 
 
+def test_ids_made_from_titles_stay():
+    page = f"<article><h2 id=related-work>Title</h2><p id='notice-period'>{LONG}</p><section id=discussion><p>{LONG}</p></section><ul><li id=social-history>One item</ul><div class=comments><p>First!</p></div></article>"
+    assert html.main_text(page) == "\n".join(["Title", LONG, LONG, "One item"])
+    assert html.main_text(f"<div><h2 id=related-work>Title</h2><p id=notice-period>{LONG}</p></div><div id=comments><p>{PROSE}</p></div>") == f"Title\n{LONG}"
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<p>x &lt;b&gt; &#233; &nope; y</p>", "x <b> é &nope; y"), ("<script>alert(1)", ""), ("< not a tag", "< not a tag"),
     ("<div hidden>gone</div><p>here</p>", "here"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>a<br>b</p>", "a b"),
