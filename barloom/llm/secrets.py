@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns plus a token-efficiency test for random strings.
 
 A byte-pair vocabulary spends few tokens on text that looks like its training data and many on random strings, so
-a long run of letters and digits with few characters per token is suspect.  Runs that are known digests (hex of
-a digest's length), UUIDs or identifiers (words joined by separators or capitals with a number among them) are
-excluded, and so are runs that a fixed pattern already covers.
+a long run with few characters per token is suspect, whether it has digits or letters alone.  Runs that are known digests
+(hex of a digest's length), UUIDs, numbers or identifiers (long words, by tokens too, joined by separators or capitals
+with a number among them) are excluded, and so are runs that a fixed pattern already covers.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned each; spans that begin at the same
 place are ordered by kind as listed in ``KINDS``; an empty table gives an empty result; extra columns are ignored
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from barloom.llm.packing import encoder, vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_RUN, MAX_CHARS_PER_TOKEN, MASK = 20, 2.0, "[SECRET]"
+MIN_RUN, MAX_CHARS_PER_TOKEN, MIN_WORD_CHARS_PER_TOKEN, MASK = 20, 2.0, 2.5, "[SECRET]"
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,9 +32,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-_DIGIT = re.compile(r"[0-9]")
-_RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -55,35 +53,29 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _known(run: str) -> bool:
+def _known(run: str, encode) -> bool:
     """A digest, a UUID, a number or an identifier made of words."""
     if len(run) in _DIGEST_LENGTHS and _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
         return True
     parts = _PARTS.findall(run)
     letters = [p for p in parts if not p.isdigit()]
     # words of an identifier are few and long; in a random run capitals and digits change every other character
-    return not letters or sum(map(len, letters)) >= 4.5 * max(1, len(parts))
+    size = sum(map(len, letters))
+    return not letters or size >= 4.5 * max(1, len(parts)) and size >= MIN_WORD_CHARS_PER_TOKEN * sum(len(encode(p)) for p in letters)
 
 
 def random_spans(text: str, taken: list[Span], encode, most: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
-    """Runs of at least ``MIN_RUN`` characters with letters and digits that take too many tokens."""
+    """Runs of at least ``MIN_RUN`` characters, letters among them, that take too many tokens."""
     out: list[Span] = []
-    done = 0
-    for m in _DIGIT.finditer(text):
-        if m.start() < done:
-            continue
-        a = m.start()
-        while a > done and text[a - 1] in _RUN_CHARS:
-            a -= 1
-        done = _RUN.match(text, a).end()
-        run = text[a:done].strip("-_=+/")
+    for m in _RUN.finditer(text):
+        a, run = m.start(), m[0].strip("-_=+/")
         if len(run) < MIN_RUN or not any(c.isalpha() for c in run):
             continue
         a = text.index(run, a)
         b = a + len(run)
-        if any(s < b and a < e for s, _, e in taken) or _known(run):
+        if any(s < b and a < e for s, _, e in taken):
             continue
-        if len(run) < most * len(encode(run)):
+        if len(run) < most * len(encode(run)) and not _known(run, encode):
             out.append((a, 3, b))
     return out
 

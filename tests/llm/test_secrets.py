@@ -43,6 +43,16 @@ def test_random_strings(run, found):
     assert bool(secrets.random_spans(f"see {run}, ok", [], encode)) == found
 
 
+@pytest.mark.parametrize("run, found", [
+    ("qwjxzkvbpm7rtylgdfshn", True), ("kQzXwVjbTqPzRmYxGhWdLnZc", True), ("qzxwvjkbtpmrylgdfshnqwxz", True), ("QZXWVJKBTPMRYLGDFSHNQWXZ", True),
+    ("internationalizationframework", False), ("getElementsByClassNameAndId", False), ("MAXIMUM_CONNECTION_TIMEOUT", False), ("-" * 30, False),
+])
+def test_random_letters(run, found):
+    encode = encoder(vocabulary()).encode_ordinary
+    assert secrets.random_spans(f"see {run}, ok", [], encode) == ([(4, 3, 4 + len(run))] if found else [])
+    assert secrets.mask(f"see {run}, ok", secrets.find(f"see {run}, ok", encode)[1]) == (f"see {'[SECRET]' if found else run}, ok")
+
+
 def test_redaction(spark):
     rows = [*EDGES, (60, TEXT), (61, "plain prose stays as it is")]
     docs = docs_of(spark, rows)
