@@ -86,6 +86,23 @@ def test_blocks_of_large_rows(spark, monkeypatch, many):
     assert got == brute(rows, 5, 80, 100)
 
 
+def test_groups_open_the_same_pairs(monkeypatch):
+    """The bound of a group leaves open every pair that the bound of its members leaves open, in one block and between two."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        sets += [np.concatenate((base[: 200 - c], rng.integers(0, 1 << 63, c).astype(np.uint64))) for c in (0, 3, 8, 40)]
+    n, comp, key = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2, np.arange(len(sets))
+    bits = np.stack([np.frombuffer(jaccard.parity(x), np.uint64) for x in sets])
+    for side in (np.zeros(len(sets), int), key % 2):
+        opened = []
+        for small in (1 << 20, 0):
+            monkeypatch.setattr(jaccard, "SMALL", small)
+            opened.append({tuple(sorted(map(int, p))) for a, b in jaccard._opened(key, comp, n, bits, side, 90, 100) for p in zip(a, b, strict=True)})
+        assert opened[0] == opened[1] and (opened[0] or side.any())
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 3, 90, 100)
