@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.ml import Pipeline
 
 from barloom import queries, transformers
+from barloom.functions import indicators as ind
 from barloom.operators import microstructure
 
 
@@ -16,3 +19,8 @@ def test_pipeline_of_operators(spark, sf_dir):
     assert pick(out) == pick(want) and "ema" in out.columns
     with pytest.raises(TypeError):
         transformers.VPIN(wndow=3)
+
+
+def test_readme_counts_the_registry():
+    text = (Path(__file__).resolve().parents[1] / "README.md").read_text()
+    assert f"the indicator registry ({len(ind._REGISTRY)} indicators)" in text
