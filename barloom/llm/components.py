@@ -40,4 +40,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if now == sign:
             break
         sign = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    else:
+        raise RuntimeError(f"the links weren't joined in {rounds} rounds")
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._barloom_path = state._barloom_path
+    return out

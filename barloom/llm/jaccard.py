@@ -1,32 +1,30 @@
 """Similarity self-join on word shingles by a token-group matrix, and its connected components.
 
-Texts with equal shingle sets are one class.  A class's set is cut into segments of the hash range, and the matrix has
-a row for each (segment content, class): its tokens are segment contents.  Two sets that reach the threshold differ in
-at most d shingles, where d follows from their sizes; cut into more than d segments, at least one has the same content
-in both.  So a query that shares no token with a group can't reach any of its members, and that group is not opened.
-
-1. Sizes fall into levels; each class is cut for its own level and for those above that a similar set may be on.  Segments with few shingles say little and would be shared by chance: enough spare segments
-   are cut that equal ones can't all be among them; a set with too many of them is cut again by another hash.
-   What a set has left of spare segments also pays for tokens that many classes share, such as those of a common passage:
-   where all of these could be among the equal ones and one more is sure to remain, they are left out.
-2. Groups are formed around the member that shares most tokens with others: each class is compared with the hub of its
-   tokens, and linked classes are joined (two rounds).
-3. What still stands apart in a token's row is grouped by component.  Groups keep what their members' sets have
-   together, folded into parity bits (those set in some and in every member); a query opens only the groups that it doesn't
-   differ from by more than the threshold allows, and in them compares the sets of those members whose own bits
-   leave it open.  Rows with many members are dealt out as pairs of blocks.
+Texts with equal shingle sets are one class, whose shingles are 64-bit hashes in ascending order.  Two sets that reach the
+threshold share ``n - ceil(t n) + 1`` shingles less than all at most, so one of the first that many of each is in both: these
+are a class's tokens, and the matrix has a row for each (token, class).  ``ROOM`` more of a set pay for tokens of more
+than ``MANY`` classes, such as those of a passage that documents share: a class that has r such tokens among the first
+p + r is *rich* and shares one that isn't among them with every rich class that is similar, so rows of such tokens are
+only kept for classes that have too many of them (*poor*: mostly made of a passage, or in a large group of copies),
+and only pairs with a poor class are looked at there.
+
+1. Partition: each class is compared with the class that shares most of its tokens (its hub); linked classes form groups.
+2. What stands apart from the hub of a token is compared with it, once for each pair.
+3. What still stands apart in a token's row is bounded against groups: a group keeps the union of its members' sets, and
+   their intersection, folded into parity bits; a query opens only groups that it doesn't differ from by more than the
+   threshold allows, and in them only members whose own bits leave it open.  Those sets are compared.  Long rows are dealt
+   out as pairs of blocks of ``BLOCK`` members.
 
 Nothing is capped: every pair that reaches the threshold is compared or already joined through others.  Equality of
 shingles and sets is judged by 64-bit hashes.
 
 Defined results: null and blank texts have empty sets and are components of their own; repeated rows are equal
-texts; the component id is the smallest doc_id; an empty table gives an empty result; extra columns are ignored.
+texts; rows of one doc_id with different texts are told apart; the component id is the smallest doc_id; an empty table
+gives an empty result; extra columns are ignored; a long text needs about 40 bytes a byte in the task that reads it.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,71 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.scratch import drop, fresh, stash
+from barloom.llm.scratch import drop, fresh, release, stash
 from barloom.llm.words import Words, groups, mix, shingles
 
 _U = np.uint64
-HASHES, BLOCK, BITS = 6, 1024, 2048
-BROADCAST_ROWS, MANY = 2_000_000, 32
-
-
-@functools.lru_cache(maxsize=8)
-def levels(num: int, den: int, most: int = 1 << 40) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """First sizes of the levels; and for each level the segments m, spare ones e, and least shingles s of a segment."""
-    first, plans = [1], []
-    wide = 3 if 100 * num >= 85 * den else 2  # wider levels: fewer sets are cut twice, but into more segments
-    while first[-1] < most:
-        a = first[-1]
-        first.append(max(a + 1, math.ceil(a * (den / num) ** wide)))
-    for c in range(len(first) - 1):
-        top = first[c + 1] - 1
-        d = 2 * top * (den - num) // (den + num)
-        plan = (d + 1, 0, 1)
-        for s, cap in ((5, 1.35), (4, 1.35), (3, 1.35), (2, 1.35), (1, 1.6)):
-            m, mid = d + 1, first[c] * num / den  # the smallest sets that are cut for this level
-            for _ in range(12):
-                rate = mid / m
-                q = sum(math.exp(-rate) * rate**j / math.factorial(j) for j in range(s)) if rate < 200 else 0.0
-                e = math.ceil(m * q + 2 * math.sqrt(m * q)) if m * q > 1e-3 else 0
-                m = d + 1 + e
-            if m <= cap * (d + 1):
-                plan = (m, e, s)
-                break
-        plans.append(plan if d else (0, 0, 0))
-    return first, plans
-
-
-def _cut(h: np.ndarray, level: int, plan: tuple[int, int, int]) -> tuple[list[np.ndarray], int]:
-    """The tokens of a set at a level; and how many more of them could be left out with an equal one sure to remain (-1: none)."""
-    m, spare, least = plan
-    out, worth = [], mix(h + _U(0x632BE59BD9B4E019))
-    for t in range(HASHES):
-        key = h if t == 0 else mix(h ^ _U(0xA0761D6478BD642F * (t + 1) % (1 << 64)))
-        place = ((key >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        if t:
-            order = np.argsort(place, kind="stable")
-            place, own = place[order], worth[order]
-        else:
-            own = worth
-        size = np.bincount(place, minlength=m)
-        end = np.cumsum(size)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)))
-        token = mix(sums[end] - sums[end - size] + mix(np.arange(m, dtype=np.uint64) + _U(level << 40 | t << 32)))
-        light = size < least
-        done = int(light.sum()) <= spare
-        out.append(token if t == HASHES - 1 and not done else token[~light])
-        if done:
-            return out, spare - int(light.sum()) if t == 0 else -1
-    return out, -1
-
-
-def tokens(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """A set's tokens at its level and those above that begin within its reach; and how many may be left out."""
-    first, plans = levels(num, den)
-    low, high = np.searchsorted(first, [len(h), len(h) * den // num], "right") - 1
-    cuts = [_cut(h, k, plans[k]) for k in range(int(low), int(high) + 1) if plans[k][0]]
-    parts = [x for out, _ in cuts for x in out]
-    return (np.concatenate(parts), min(slack for _, slack in cuts)) if parts else (np.zeros(0, np.uint64), -1)
+BLOCK, BITS, CELLS = 1024, 2048, 1 << 15  # CELLS: pairs that are bounded in one operation
+MANY, ROOM = 32, 10  # classes of an ordinary token; a set's share (one in ROOM) that may replace others
+SAMPLE, HOT, SALTS = 64, 4096, 64  # tokens of more than a HOT-th of one in SAMPLE classes are dealt to SALTS tasks
+BROADCAST_ROWS = 500_000  # rows of two or three numbers that are sent to all tasks; more are joined by a shuffle
+MEMBERS = 512  # sets that are compared with one other in a task
+
+
+def lengths(n: int, num: int, den: int) -> tuple[int, int]:
+    """How many tokens a set of ``n`` has, and how many with those that may replace them."""
+    first = n + num * n // -den + 1
+    return first, min(n, first + 4 + n // ROOM)
 
 
 def set_key(h: np.ndarray) -> int:
@@ -109,51 +57,70 @@ def set_key(h: np.ndarray) -> int:
 
 
 def _sets(k: int, num: int, den: int):
-    """doc_id, n, key and, for the first of its class in the task, the tokens."""
+    """doc_id, mark, n, key and, for the first of its class in the task, the tokens and how many of them are the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for first, texts in groups(batch.column(1)):
-                sizes, keys, cuts, slacks = [], [], [], []
+            for first, texts in groups(batch.column(2)):
+                rows = []
                 for h in shingles(Words(texts), k):
                     key = set_key(h) if len(h) else None
-                    new = key is not None and key not in seen
+                    if key is None or key in seen:
+                        rows.append((len(h), key, None, None))
+                        continue
                     seen.add(key)
-                    sizes.append(len(h))
-                    keys.append(key)
-                    found, slack = tokens(h, num, den) if new else (None, None)
-                    cuts.append(found.view(np.int64) if new else None)
-                    slacks.append(slack)
-                ids = batch.column(0).slice(first, len(texts))
-                cols = [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(cuts, pa.list_(pa.int64())), pa.array(slacks, pa.int32())]
-                yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "n", "key", "tokens", "slack"])
+                    p, most = lengths(len(h), num, den)
+                    rows.append((len(h), key, h[:most].view(np.int64), p))
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                ids = [batch.column(c).slice(first, len(texts)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *cols], names=["doc_id", "mark", "n", "key", "tokens", "p"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, key) sorted so -> the distinct rows of the tokens that have two keys or more."""
-    held_t = held_k = np.zeros(0, np.int64)  # the last row of what went before
-    told = False  # whether it has been given out
-    for batch in batches:
-        t = np.concatenate((held_t, batch.column(0).to_numpy(zero_copy_only=False)))
-        k = np.concatenate((held_k, batch.column(1).to_numpy(zero_copy_only=False)))
-        if not len(t):
-            continue
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        t, k = t[new], k[new]
-        shared = np.zeros(len(t), bool)
-        shared[1:] = t[1:] == t[:-1]
-        shared[:-1] |= shared[1:].copy()
-        give = shared.copy()
-        if told:
-            give[0] = False
-        told = bool(shared[-1]) or (told and len(t) == 1)
-        held_t, held_k = t[-1:], k[-1:]
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[give]), pa.array(k[give])], names=["token", "key"])
+def _runs(many: int):
+    """Rows (token, salt, key, place) sorted so -> distinct rows of tokens of two classes or more, with the classes c.
+
+    c is exact up to ``many`` and one more beyond; rows with a salt are parts of longer ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        told = False  # the held row is the last of a long run, and has been given out
+
+        def out(rows: list[np.ndarray], c: np.ndarray, give: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if give.any():
+                cols = [*(x[give] for x in (rows[0], rows[2], rows[3])), c[give]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "key", "place", "c"])
+
+        for batch in batches:
+            rows = [np.concatenate((h, batch.column(j).to_numpy(zero_copy_only=False))) for j, h in enumerate(held)]
+            if not len(rows[0]):
+                continue
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+            token, salt = rows[0][new], rows[1][new]
+            rows = [token, salt, rows[2][new], rows[3][new]]
+            start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))))
+            size = np.diff(np.append(start, len(token)))
+            long = (size > many) | (salt[start] >= 0)
+            long[0] |= told
+            give = np.repeat(long | (size > 1), size)
+            give[0] &= not told
+            last = int(start[-1])
+            if long[-1]:
+                told, held = True, [x[-1:] for x in rows]
+            else:
+                give[last:] = False
+                told, held = False, [x[last:] for x in rows]
+            yield from out(rows, np.repeat(np.where(long, many + 1, size), size).astype(np.int32), give)
+        n = len(held[0])
+        if n > 1 and not told:
+            yield from out(held, np.full(n, n, np.int32), np.ones(n, bool))
+
+    return run
 
 
 def parity(h: np.ndarray) -> bytes:
@@ -200,19 +167,25 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _alike(num: int, den: int):
-    """Pairs with both sets -> the pairs that reach the threshold."""
+    """Rows (v, u, h) sorted so that v's own set, without a u, is before those of its partners -> pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hu"), batch.column("hv"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if den * min(len(a), len(b)) < num * max(len(a), len(b)):
-                    keep.append(False)
+            us, vs = [], []
+            for v, u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                if u is None:
+                    name, own = v, h.copy()
                     continue
-                n = _common(a, b)
-                keep.append(den * n >= num * (len(a) + len(b) - n))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                if v != name:
+                    raise ValueError("a pair came without its second set")
+                if den * min(len(h), len(own)) >= num * max(len(h), len(own)):
+                    n = _common(h, own)
+                    if den * n >= num * (len(h) + len(own) - n):
+                        us.append(u)
+                        vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -231,18 +204,38 @@ def _near(num: int, den: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool = True) -> DataFrame:
-    """The pairs that reach the threshold; ``bound``: first by parity bits, so that few sets are moved."""
+def _sent(table: DataFrame) -> DataFrame:
+    """A stashed table, to be broadcast if its size allows it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool, label: str) -> DataFrame:
+    """The pairs that reach the threshold, stashed; ``bound``: first by parity bits.
+
+    Partners of v go where v's set is, ``MEMBERS`` of them to a task's stretch, so a set moves once for each of its pairs and
+    v's once for each stretch.
+    """
     if bound:
         left, right = sets.select("key", "n", "bits").toDF("ku", "nu", "bu"), sets.select("key", "n", "bits").toDF("kv", "nv", "bv")
         full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
         pairs = full.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_near(num, den), "u long, v long")
-    left, right = sets.select("key", "h").toDF("ku", "hu"), sets.select("key", "h").toDF("kv", "hv")
-    full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
-    return full.select("u", "v", "hu", "hv").mapInArrow(_alike(num, den), "u long, v long")
-
-
-SMALL = 4096
+    held = hasattr(pairs, "_barloom_path")
+    pairs = pairs if held else stash(pairs, f"{label}-open")
+    often = pairs.groupBy(F.col("v").alias("ov")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("stretches"))
+    part = F.pmod(F.xxhash64("u"), F.col("stretches")).cast("int")
+    dealt = stash(pairs.join(often, F.col("v") == F.col("ov")).select("u", "v", part.alias("part")), f"{label}-dealt")
+    few = dealt.count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda table: table
+    whole = sets.select("key", "h")
+    partners = whole.join(sent(dealt), F.col("key") == F.col("u")).select("v", "part", "u", "h")
+    firsts = whole.join(sent(dealt.select("v", "part").distinct()), F.col("key") == F.col("v")).select("v", "part", F.lit(None).cast("long").alias("u"), "h")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = partners.union(firsts).repartition(parts, "v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    found = stash(both.select("v", "u", "h").mapInArrow(_alike(num, den), "u long, v long"), label, let_go=True)
+    drop(dealt)
+    if not held:
+        drop(pairs)
+    return found
 
 
 def _opened(key: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -253,30 +246,23 @@ def _opened(key: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray,
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     one = not len(right)
     right = left if one else right
-    if len(left) * len(right) <= SMALL:
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        apart = comp[i] != comp[j]
-        if one:
-            apart &= key[i] < key[j]
-        i, j = i[apart], j[apart]
-        near = _may_link(n[i], bits[i], n[j], bits[j], num, den)
-        return [(key[i[near]], key[j[near]])]
+    if not len(left):
+        return []
     right = right[np.lexsort((key[right], comp[right]))]
     key2, m, bits2 = key[right], n[right], bits[right]
-    names, start, size = np.unique(comp[right], return_index=True, return_counts=True)
+    names, start, group = np.unique(comp[right], return_index=True, return_inverse=True)
     every, some = np.bitwise_and.reduceat(bits2, start), np.bitwise_or.reduceat(bits2, start)
     least, most = np.minimum.reduceat(m, start), np.maximum.reduceat(m, start)
-    out = []
-    for i in left:
+    step, out = max(1, CELLS // len(right)), []
+    for a in range(0, len(left), step):
+        own = left[a : a + step]
+        mine, size = bits[own][:, None, :], n[own][:, None]
         # bits that differ from those of every member of a group
-        apart = np.bitwise_count((bits[i] & ~some) | (~bits[i] & every)).sum(-1, dtype=np.int64)
-        opened = (names != comp[i]) & (den * n[i] >= num * least) & (den * most >= num * n[i]) & (apart * (den + num) <= (n[i] + most) * (den - num))
-        at = np.flatnonzero(np.repeat(opened, size))
-        if one:
-            at = at[key2[at] > key[i]]
-        if len(at):
-            near = at[_may_link(n[i], bits[i], m[at], bits2[at], num, den)]
-            out.append((np.full(len(near), key[i]), key2[near]))
+        apart = np.bitwise_count((mine & ~some) | (~mine & every)).sum(-1, dtype=np.int64)
+        opened = (names != comp[own][:, None]) & (den * size >= num * least) & (den * most >= num * size) & (apart * (den + num) <= (size + most) * (den - num))
+        i, j = np.nonzero(opened[:, group] & ((key2 > key[own][:, None]) if one else True))
+        near = _may_link(n[own[i]], bits[own[i]], m[j], bits2[j], num, den)
+        out.append((key[own[i[near]]], key2[j[near]]))
     return out
 
 
@@ -302,119 +288,150 @@ def _open_groups(num: int, den: int):
             last = int(new[-1]) if len(new) else 0
             if last:
                 yield out(cols, bits, np.concatenate(([0], new)))
-            held = [c[last:] for c in cols], bits[last:]
+            held = [c[last:].copy() for c in cols], bits[last:].copy()
         if held:
             yield out(*held, np.array([0, len(held[1])]))
 
     return run
 
 
-def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (token, key, ...) with the component of the key."""
-    return rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """The rows of tokens whose classes are in two components or more."""
-    split = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("token").alias("t"))
-    return rows.join(split, F.col("token") == F.col("t"), "left_semi")
-
-
-def _hubs(rows: DataFrame, weight: DataFrame) -> DataFrame:
-    """Rows (token, key, comp) with the hub of the token: the class that shares most tokens with others."""
-    weighed = rows.join(weight, F.col("key") == F.col("w_key"))
-    hub = weighed.groupBy("token").agg(F.max(F.struct("w", "key", "comp")).alias("hub")).select(F.col("token").alias("t"), F.col("hub.key").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-    return rows.join(hub, F.col("token") == F.col("t")).drop("t")
+def _matrix(base: DataFrame, parts: int) -> DataFrame:
+    """Rows (token, key, place, c) of tokens of two classes or more; place: rank from the last of the first tokens, and room."""
+    place = F.shiftleft((F.col("pos") - F.col("p")).cast("long"), 32) + (F.col("t") - F.col("p"))
+    rows = base.where("tokens is not null").select("key", "p", F.size("tokens").alias("t"), F.posexplode("tokens").alias("pos", "token")).select("token", "key", place.alias("place"))
+    # one in SAMPLE classes tells which tokens are so frequent that their rows are dealt to several tasks: at most HOT times a class's tokens
+    some = base.where(F.col("tokens").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0))
+    classes = some.agg(F.count_distinct("key")).first()[0]
+    seen = some.select("key", F.explode("tokens").alias("hot")).groupBy("hot").agg(F.count_distinct("key").alias("s"))
+    hot = F.broadcast(stash(seen.where(F.col("s") > max(16, classes // HOT)).select("hot"), "hot"))
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(-1))
+    salted = rows.join(hot, F.col("token") == F.col("hot"), "left").select("token", salt.cast("long").alias("salt"), "key", "place")
+    dealt = salted.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "key")
+    return stash(dealt.mapInArrow(_runs(MANY), "token long, key long, place long, c int"), "matrix", let_go=True)
+
+
+def _kept(matrix: DataFrame) -> DataFrame:
+    """Rows (token, key, heavy, poor, hub, hub_poor) of the pairs that must be looked at."""
+    rank, room, heavy = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), F.col("c") > MANY
+    found = matrix.groupBy("key").agg(F.sum("c").alias("w"), F.array_sort(F.collect_list(F.when(heavy, rank))).alias("ranks"), F.max(room).alias("room"))
+    # the least r such that no more than r of the first p + r tokens are heavy
+    at = F.array_position(F.transform("ranks", lambda x, i: x >= i), F.lit(True))
+    reach = F.when(at > 0, at - 1).otherwise(F.size("ranks"))
+    info = found.select(F.col("key").alias("i_key"), "w", reach.alias("reach"), (reach > F.col("room")).alias("poor"))
+    rows = matrix.select("token", "key", heavy.alias("heavy"), rank.alias("rank")).join(info, F.col("key") == F.col("i_key"))
+    rows = rows.where(F.col("rank") < F.when(F.col("heavy") | F.col("poor"), 0).otherwise(F.col("reach"))).select("token", "key", "heavy", "poor", "w")
+    rows = stash(rows, "rows", let_go=True)
+    hubs = rows.groupBy("token").agg(F.max(F.struct("poor", "w", "key")).alias("hub"), F.count(F.lit(1)).alias("c"), F.max("heavy").alias("h"))
+    hubs = hubs.where((F.col("c") > 1) & (~F.col("h") | F.col("hub.poor"))).select(F.col("token").alias("t"), F.col("hub.key").alias("hub"), F.col("hub.poor").alias("hub_poor"))
+    kept = stash(rows.join(hubs, F.col("token") == F.col("t")).select("token", "key", "heavy", "poor", "hub", "hub_poor"), "kept", let_go=True)
+    drop(rows)
+    return kept
+
+
+def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of tokens whose classes are in two components or more, with theirs (comp) and the hub's."""
+    placed = rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+    split = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.when(F.col("key") == F.col("hub"), F.col("comp"))).alias("hub_comp"))
+    return placed.join(split.where("x <> y").select(F.col("token").alias("t"), "hub_comp"), F.col("token") == F.col("t")).drop("t")
+
+
+def _blocks(left: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Rows of tokens as pairs of blocks, sorted: one block for an ordinary token, poor classes against all for a heavy one."""
+    shape = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(7), "key").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")]
+    same = left.groupBy("token").agg(*shape, F.max("heavy").alias("h"), F.count_if("poor").alias("poor_size"))
+    once = same.groupBy("c", "x", "s", "h").agg(F.min(F.struct("token", "poor_size")).alias("o")).select(F.col("o.token").alias("t"), F.col("c").alias("row_size"), F.col("o.poor_size").alias("poor_size"))
+    once = once.where("not h or poor_size > 0")
+    rows = stash(left.join(once, F.col("token") == F.col("t")).drop("t"), "apart")
+    l_blocks, r_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("poor_size", "row_size"))
+    own_l, own_r = F.pmod(F.xxhash64(F.lit(11), "key"), l_blocks).cast("int"), F.pmod(F.xxhash64(F.lit(13), "key"), r_blocks).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    zero = F.lit(0)
+    dealt = rows.where("not heavy").select("token", zero.alias("a"), zero.alias("b"), zero.alias("side"), "key", "comp")
+    dealt = dealt.union(rows.where("heavy and poor").select("token", own_l.alias("a"), each(r_blocks).alias("b"), zero.alias("side"), "key", "comp"))
+    dealt = dealt.union(rows.where("heavy").select("token", each(l_blocks).alias("a"), own_r.alias("b"), F.lit(1).alias("side"), "key", "comp"))
+    filled = dealt.join(sets.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key"))
+    filled = filled.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b")
+    return filled.select("token", "a", "b", "side", "key", "comp", "n", "bits")
 
 
-def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Documents link when den * common >= num * union."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, n long, key long, tokens array<long>, slack int"), "sets")
-    rows = base.where("tokens is not null").select(F.explode("tokens").alias("token"), "key")
+def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
+    """One row per document: doc_id, mark (a hash of the text), n_shingles, component_id."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    whole = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, mark long, n long, key long, tokens array<long>, p int"), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matrix = stash(rows.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_runs, "token long, key long"), "matrix")
-    del rows
-    cut, base = base, stash(base.select("doc_id", "n", "key", "slack"), "classes")
-    drop(cut)
-    del cut
-
-    # tokens of many classes (a passage that documents share) are left out where an equal token of few is sure to remain
-    many = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select(F.col("token").alias("t"), "c")
-    sized = stash(matrix.join(many, F.col("token") == F.col("t")).drop("t"), "sized")
-    slack = base.where("slack is not null").groupBy("key").agg(F.min("slack").alias("slack"))
-    burden = sized.groupBy("key").agg(F.count(F.when(F.col("c") > MANY, 1)).alias("heavy")).join(slack, "key")
-    burden = burden.select(F.col("key").alias("b_key"), (F.col("heavy") <= F.col("slack")).alias("spared"))
-    kept = sized.join(burden, F.col("key") == F.col("b_key")).where(~((F.col("c") > MANY) & F.col("spared")))
-    whole, matrix = matrix, stash(kept.select("token", "key"), "matrix-kept")
-    drop(whole, sized)
+    matrix = _matrix(whole, parts)
+    base = stash(whole.select("doc_id", "mark", "n", "key"), "classes")
+    drop(whole)
+    kept = _kept(matrix)
+    drop(matrix)
 
     # the sets of classes that share a token with another
     first = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = stash(first.join(matrix.select("key").distinct(), "key", "left_semi").select("rep", F.col("key").alias("want")), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond it, texts are moved
-    members = source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"))
-    sets = stash(members.select("want", "text").mapInArrow(_hashes(k), "key long, n long, h binary, bits binary"), "hashes")
+    wanted = stash(first.join(kept.select("key").distinct(), "key", "left_semi").select("rep", F.col("key").alias("want")), "wanted")
+    members = source.join(_sent(wanted), F.col("doc_id") == F.col("rep"))
+    sets = stash(members.select("want", "text").mapInArrow(_hashes(k), "key long, n long, h binary, bits binary"), "hashes", let_go=True)
     found = sets.agg(F.count("key"), F.count_distinct("key")).first()
     if found[0] != found[1]:  # repeated rows of one doc_id in several tasks
-        sets = stash(sets.dropDuplicates(["key"]), "hashes-once")
+        again, sets = sets, stash(sets.dropDuplicates(["key"]), "hashes-once")
+        drop(again)
 
-    # a class weighs as much as the rows that it shares
-    row_size = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).select(F.col("token").alias("t"), "c")
-    weight = matrix.join(row_size, F.col("token") == F.col("t")).groupBy("key").agg(F.sum("c").alias("w")).select(F.col("key").alias("w_key"), "w")
-    weight = stash(weight, "weights")
-
-    # round 1: each class with the hub of most of its tokens
-    around = _hubs(matrix.withColumn("comp", F.col("key")), weight).where("key <> hub")
-    often = around.groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c"))
+    # the partition: each class with the hub of most of its tokens
+    pair = (F.col("key") != F.col("hub")) & (~F.col("heavy") | F.col("poor") | F.col("hub_poor"))
+    often = kept.where(pair).groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c"))
     tried = stash(often.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("b")).select(F.col("key").alias("u"), F.col("b.hub").alias("v")), "tried")
-    links = stash(_verify(tried, sets, num, den), "links-1")
+    links = _verify(tried, sets, num, den, False, "links-1")
     roots = components(links)
 
-    # round 2: each class that still stands apart with every hub of its tokens
-    left = _apart(_placed(matrix, roots))
-    around = _hubs(left, weight)
-    more = around.where("comp <> hub_comp").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+    # each class that still stands apart with every hub of its tokens
+    left = stash(_apart(kept, roots), "left")
+    more = left.where(pair & (F.col("comp") != F.col("hub_comp"))).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
     more = more.join(tried.toDF("tu", "tv"), ((F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv"))), "left_anti")
     more = more.where("u < v").union(more.where("u > v").select("v", "u")).distinct()
-    links = stash(links.union(_verify(more, sets, num, den)), "links-2")
-    roots = components(links)
-
-    # round 3: members other than the hub that still stand apart; rows with the same members once
-    again = around.where("key <> hub").select("token", "key")
-    left = _apart(_placed(again, roots))
-    same = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(7), "key").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
-    once = same.groupBy("c", "x", "s").agg(F.min("token").alias("t")).select("t", F.col("c").alias("row_size"))
-    left = stash(left.join(once, F.col("token") == F.col("t")).drop("t"), "apart")
-    blocks = F.ceil(F.col("row_size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(11), "key"), blocks).cast("int")
-    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("token", "key", "comp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    filled = dealt.join(sets.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key")).drop("s_key")
-    filled = filled.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b")
-    last = filled.select("token", "a", "b", "side", "key", "comp", "n", "bits").mapInArrow(_open_groups(num, den), "u long, v long").distinct()
-    links = stash(links.union(_verify(last, sets, num, den, bound=False)), "links-3")
-    roots = stash(components(links), "roots")
+    found = _verify(more, sets, num, den, True, "links-2")
+    if not found.isEmpty():
+        links = links.union(found)
+        drop(roots)
+        roots = components(links)
+
+    # members other than the hub that still stand apart, against groups; rows with the same members once
+    again = left.where("key <> hub").select("token", "key", "heavy", "poor", "hub")
+    open_pairs = _blocks(_apart(again, roots), sets, parts).mapInArrow(_open_groups(num, den), "u long, v long").distinct()
+    found = _verify(open_pairs, sets, num, den, False, "links-3")
+    drop(sets, kept, tried, wanted, left)
+    if not found.isEmpty():
+        drop(roots)
+        roots = components(links.union(found))
 
     # every class with its component's smallest doc_id
     named = first.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     small = named.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
     ids = stash(named.join(small, F.col("root") == F.col("r")).select(F.col("key").alias("c_key"), "component_id"), "components")
-    out = base.select("doc_id", "n", "key").join(ids, F.col("key") == F.col("c_key"), "left")
-    drop(sets)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    drop(roots)
+    release(docs.sparkSession)
+    out = base.join(ids, F.col("key") == F.col("c_key"), "left")
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Documents link when den * common >= num * union."""
+    return _judged(docs, k, num, den, text).drop("mark")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays, once.
+    """The rows of ``docs`` without near duplicates: of each component one row with the smallest doc_id stays.
 
-    Documents without words, and those without a doc_id, all stay.
+    Rows of that doc_id with several texts in one component: the one whose text has the smallest hash. Documents without words,
+    and those without a doc_id, all stay.
     """
-    judged = link(docs, k, num, den, text)
-    judged = judged.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("times"))
-    own = fresh(docs, "kept_id", "kept_stays", "kept_times")
-    judged = stash(judged.where("not stays or times > 1").toDF(*own), "near-duplicates")
-    joined = docs.join(judged, docs["doc_id"] == F.col(own[0]), "left")
+    judged = _judged(docs, k, num, den, text).where("n_shingles > 0 and doc_id is not null")
+    each = judged.groupBy("doc_id", "mark", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    best = each.where("doc_id = component_id").groupBy(F.col("component_id").alias("b_id")).agg(F.min("mark").alias("b_mark"))
+    stays = F.coalesce((F.col("doc_id") == F.col("b_id")) & (F.col("mark") == F.col("b_mark")), F.lit(False))
+    told = each.join(best, F.col("doc_id") == F.col("b_id"), "left").select("doc_id", "mark", stays.alias("stays"), "times")
+    own = fresh(docs, "kept_id", "kept_mark", "kept_stays", "kept_times")
+    told = stash(told.where("not stays or times > 1").toDF(*own), "near-duplicates", let_go=True)
+    same = (docs["doc_id"].cast("long") == F.col(own[0])) & (F.xxhash64(docs[text]) == F.col(own[1]))
+    joined = docs.join(_sent(told), same, "left")
     alone = joined.where(F.col(own[0]).isNull()).select(*docs.columns)
-    repeated = joined.where(F.col(own[1])).select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = joined.where(F.col(own[2])).select(*docs.columns).dropDuplicates(["doc_id"])
     return alone.unionByName(repeated)

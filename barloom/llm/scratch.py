@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file:/tmp/checkpoints/barloom-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and its shuffles can go."""
+def stash(df: DataFrame, label: str, let_go: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there; ``let_go``: large shuffles can go at once."""
     spark = df.sparkSession
     path = f"{root(spark)}/barloom/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    release(spark)
+    if let_go:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._barloom_path = path
     return out

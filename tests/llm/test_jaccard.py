@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import EDGES, docs_of, words
 from hypothesis import given, settings
@@ -75,15 +76,13 @@ def test_near_copies_by_brute_force(spark, k, num):
     assert len({c for _, c in got.values()}) < len(rows) - 20
 
 
-@pytest.mark.parametrize("many", [2, 8])
-def test_blocks_of_large_rows(spark, monkeypatch, many):
+@pytest.mark.parametrize("many, k, num", [(2, 3, 90), (8, 5, 80)])
+def test_blocks_of_large_rows(spark, monkeypatch, many, k, num):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "MANY", many)
     rows = near_rows()[:100]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows), 3, 90, 100).collect()}
-    assert got == brute(rows, 3, 90, 100)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows), 5, 80, 100).collect()}
-    assert got == brute(rows, 5, 80, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows), k, num, 100).collect()}
+    assert got == brute(rows, k, num, 100)
 
 
 def test_groups_open_the_same_pairs(monkeypatch):
@@ -96,11 +95,60 @@ def test_groups_open_the_same_pairs(monkeypatch):
     n, comp, key = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2, np.arange(len(sets))
     bits = np.stack([np.frombuffer(jaccard.parity(x), np.uint64) for x in sets])
     for side in (np.zeros(len(sets), int), key % 2):
-        opened = []
-        for small in (1 << 20, 0):
-            monkeypatch.setattr(jaccard, "SMALL", small)
-            opened.append({tuple(sorted(map(int, p))) for a, b in jaccard._opened(key, comp, n, bits, side, 90, 100) for p in zip(a, b, strict=True)})
-        assert opened[0] == opened[1] and (opened[0] or side.any())
+        want = set()
+        for i in key:
+            for j in key:
+                between = i < j if not side.any() else side[i] == 0 and side[j] == 1
+                if between and comp[i] != comp[j] and jaccard._may_link(n[i], bits[i], n[j], bits[j], 90, 100):
+                    want.add((min(i, j), max(i, j)))
+        for cells in (1, 100, 1 << 15):
+            monkeypatch.setattr(jaccard, "CELLS", cells)
+            got = {tuple(sorted(map(int, p))) for a, b in jaccard._opened(key, comp, n, bits, side, 90, 100) for p in zip(a, b, strict=True)}
+            assert got == want and (got or side.any())
+
+
+def test_shared_passages(spark, monkeypatch):
+    """Documents around one passage: rich ones by their own words, poor ones that are mostly passage, copies of both."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(90):
+        own = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([3, 8, 12, 40, 200]))]
+        rows.append((k, " ".join(passage + own)))
+        if k % 3 == 0:
+            rows.append((100 + k, " ".join(passage + own[: len(own) - 1] + [f"x{k}"])))
+            rows.append((200 + k, edited(passage + own, 0.01, rng)))
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    for many, num, sample in ((4, 80, 64), (32, 80, 1)):  # sample of 1: each token of more than 16 classes is dealt to several tasks
+        monkeypatch.setattr(jaccard, "MANY", many)
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows), 5, num, 100).collect()}
+        assert got == brute(rows, 5, num, 100)
+
+
+def test_sets_are_moved_by_shuffle_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rows = near_rows()[:60]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows)).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_runs_by_loop():
+    rng = np.random.default_rng(4)
+    for many in (1, 2, 5):
+        rows = sorted((int(t), int(s), int(k), 7) for t, s, k in zip(rng.integers(0, 30, 400), np.zeros(400), rng.integers(0, 9, 400), strict=True))
+        rows = [(t, -1 if t < 20 else k % 3, k, p) for t, _, k, p in rows]
+        rows.sort()
+        want = []
+        for t, s in sorted({r[:2] for r in rows}):
+            keys = sorted({r[2] for r in rows if r[:2] == (t, s)})
+            if len(keys) > 1 or s >= 0:
+                want += [(t, k, 7, many + 1 if s >= 0 else min(len(keys), many + 1)) for k in keys]
+        for size in (1, 3, 50, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + size], strict=True)], names=list("tskp")) for a in range(0, len(rows), size)]
+            got = [tuple(r.values()) for b in jaccard._runs(many)(iter(batches)) for r in b.to_pylist()]
+            assert got == want
 
 
 def test_documents(spark, sf_dir):
@@ -132,8 +180,12 @@ def test_similar_sets_share_a_token(n, changes, seed, bound):
     a, b = np.unique(pool[:n]), np.unique(pool[min(changes, n - 1) :])
     common = len(np.intersect1d(a, b))
     if den * common >= num * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-        (x, slack), (y, more) = jaccard.tokens(a, num, den), jaccard.tokens(b, num, den)
-        assert np.intersect1d(x, y).size > max(slack, more, 0)
+        x, y = (z[: jaccard.lengths(len(z), num, den)[0]] for z in (a, b))
+        assert np.intersect1d(x, y).size
+        # with as many more of each, as many more are in both
+        more = rng.integers(0, 20)
+        x, y = (z[: jaccard.lengths(len(z), num, den)[0] + more] for z in (a, b))
+        assert np.intersect1d(x, y).size > min(more, common - 1)
         bits = [np.frombuffer(jaccard.parity(x), np.uint64) for x in (a, b)]
         assert jaccard._may_link(np.array(len(a)), bits[0], np.array(len(b)), bits[1], num, den)
 
