@@ -56,8 +56,14 @@ def set_key(h: np.ndarray) -> int:
     return int(mix(np.array([whole % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each of ``BITS`` parts of the hash range whether it holds an odd number: sets differ by as many shingles at least
+    as these bits differ."""
+    return np.packbits((np.bincount((h >> _U(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets(k: int, num: int, den: int):
-    """doc_id, mark, n, key and, for the first of its class in the task, the tokens and how many of them are the first."""
+    """doc_id, mark, n, key and, for the first of its class in the task, the tokens, how many of them are the first, and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -67,15 +73,15 @@ def _sets(k: int, num: int, den: int):
                 for h in shingles(Words(texts), k):
                     key = set_key(h) if len(h) else None
                     if key is None or key in seen:
-                        rows.append((len(h), key, None, None))
+                        rows.append((len(h), key, None, None, None))
                         continue
                     seen.add(key)
                     p, most = lengths(len(h), num, den)
-                    rows.append((len(h), key, h[:most].view(np.int64), p))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+                    rows.append((len(h), key, h[:most].view(np.int64), p, parity(h)))
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 ids = [batch.column(c).slice(first, len(texts)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *cols], names=["doc_id", "mark", "n", "key", "tokens", "p"])
+                yield pa.RecordBatch.from_arrays([*ids, *cols], names=["doc_id", "mark", "n", "key", "tokens", "p", "bits"])
 
     return run
 
@@ -123,27 +129,25 @@ def _runs(many: int):
     return run
 
 
-def parity(h: np.ndarray) -> bytes:
-    """For each of ``BITS`` parts of the hash range whether it holds an odd number: sets differ by as many shingles at least
-    as these bits differ."""
-    return np.packbits((np.bincount((h >> _U(65 - BITS.bit_length())).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
-
-
 def _hashes(k: int):
-    """The sets themselves: key, size, sorted hashes and parity bits; equal ones once in a task."""
+    """Rows (want, v, part, u, text) -> (v, part, u, h): the sorted hashes of a text's set; texts with another set than wanted go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        text, own, h = None, None, np.zeros(0, np.uint64)
         for batch in batches:
-            for first, texts in groups(batch.column(1)):
-                rows = []
-                for want, h in zip(batch.column(0).slice(first, len(texts)).to_pylist(), shingles(Words(texts), k), strict=True):
-                    if len(h) and set_key(h) == want and want not in seen:
-                        seen.add(want)
-                        rows.append((want, len(h), h.tobytes(), parity(h)))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "h", "bits"])
+            for first, texts in groups(batch.column(4)):
+                new = [t for j, t in enumerate(texts) if t != (texts[j - 1] if j else text)]  # a text's rows are side by side
+                found = iter(shingles(Words(new), k)) if new else iter(())
+                place, sets = [], []
+                for j, (t, want) in enumerate(zip(texts, batch.column(0).slice(first, len(texts)).to_pylist(), strict=True)):
+                    if t != text or own is None:
+                        text, h = t, next(found)
+                        own = set_key(h) if len(h) else 0
+                    if own == want:
+                        place.append(first + j)
+                        sets.append(h.tobytes())
+                rows = batch.take(pa.array(place, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in (1, 2, 3)), pa.array(sets, pa.binary())], names=["v", "part", "u", "h"])
 
     return run
 
@@ -209,32 +213,31 @@ def _sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool, label: str) -> DataFrame:
-    """The pairs that reach the threshold, stashed; ``bound``: first by parity bits.
+def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that sizes and parity bits leave open."""
+    left, right = classes.select("key", "n", "bits").toDF("ku", "nu", "bu"), classes.select("key", "n", "bits").toDF("kv", "nv", "bv")
+    full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
+    return full.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_near(num, den), "u long, v long")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, k: int, num: int, den: int, label: str) -> DataFrame:
+    """The open pairs that reach the threshold, stashed.
 
     Partners of v go where v's set is, ``MEMBERS`` of them to a task's stretch, so a set moves once for each of its pairs and
-    v's once for each stretch.
+    v's once for each stretch. Sets are made from the texts of the pairs' classes, and never stored.
     """
-    if bound:
-        left, right = sets.select("key", "n", "bits").toDF("ku", "nu", "bu"), sets.select("key", "n", "bits").toDF("kv", "nv", "bv")
-        full = pairs.join(left, F.col("u") == F.col("ku")).join(right, F.col("v") == F.col("kv"))
-        pairs = full.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_near(num, den), "u long, v long")
-    held = hasattr(pairs, "_barloom_path")
-    pairs = pairs if held else stash(pairs, f"{label}-open")
+    pairs = stash(pairs, f"{label}-open", let_go=True)
     often = pairs.groupBy(F.col("v").alias("ov")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("stretches"))
     part = F.pmod(F.xxhash64("u"), F.col("stretches")).cast("int")
-    dealt = stash(pairs.join(often, F.col("v") == F.col("ov")).select("u", "v", part.alias("part")), f"{label}-dealt")
-    few = dealt.count() <= BROADCAST_ROWS
-    sent = F.broadcast if few else lambda table: table
-    whole = sets.select("key", "h")
-    partners = whole.join(sent(dealt), F.col("key") == F.col("u")).select("v", "part", "u", "h")
-    firsts = whole.join(sent(dealt.select("v", "part").distinct()), F.col("key") == F.col("v")).select("v", "part", F.lit(None).cast("long").alias("u"), "h")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = partners.union(firsts).repartition(parts, "v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
-    found = stash(both.select("v", "u", "h").mapInArrow(_alike(num, den), "u long, v long"), label, let_go=True)
-    drop(dealt)
-    if not held:
-        drop(pairs)
+    dealt = pairs.join(often, F.col("v") == F.col("ov")).select("v", part.alias("part"), "u")
+    both = dealt.withColumn("want", F.col("u")).union(dealt.select("v", "part", F.lit(None).cast("long").alias("u"), F.col("v").alias("want")).distinct())
+    roles = stash(both.join(classes.select("key", "rep"), F.col("want") == F.col("key")).drop("key"), f"{label}-roles")
+    texts = source.join(_sent(roles), source["doc_id"].eqNullSafe(roles["rep"])).select("want", "v", "part", "u", "text")
+    sets = texts.mapInArrow(_hashes(k), "v long, part int, u long, h binary")
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.repartition(parts, "v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    found = stash(dealt.select("v", "u", "h").mapInArrow(_alike(num, den), "u long, v long"), label, let_go=True)
+    drop(pairs, roles)
     return found
 
 
@@ -335,7 +338,7 @@ def _apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(split.where("x <> y").select(F.col("token").alias("t"), "hub_comp"), F.col("token") == F.col("t")).drop("t")
 
 
-def _blocks(left: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _blocks(left: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """Rows of tokens as pairs of blocks, sorted: one block for an ordinary token, poor classes against all for a heavy one."""
     shape = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(7), "key").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")]
     same = left.groupBy("token").agg(*shape, F.max("heavy").alias("h"), F.count_if("poor").alias("poor_size"))
@@ -349,45 +352,37 @@ def _blocks(left: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     dealt = rows.where("not heavy").select("token", zero.alias("a"), zero.alias("b"), zero.alias("side"), "key", "comp")
     dealt = dealt.union(rows.where("heavy and poor").select("token", own_l.alias("a"), each(r_blocks).alias("b"), zero.alias("side"), "key", "comp"))
     dealt = dealt.union(rows.where("heavy").select("token", each(l_blocks).alias("a"), own_r.alias("b"), F.lit(1).alias("side"), "key", "comp"))
-    filled = dealt.join(sets.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key"))
+    filled = dealt.join(classes.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key"))
     filled = filled.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b")
     return filled.select("token", "a", "b", "side", "key", "comp", "n", "bits")
 
 
 def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
-    """One row per document: doc_id, mark (a hash of the text), n_shingles, component_id."""
+    """One row per document: doc_id, mark (a hash of the text), root (a class of its component), n_shingles, component_id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    whole = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, mark long, n long, key long, tokens array<long>, p int"), "sets")
+    whole = stash(source.mapInArrow(_sets(k, num, den), "doc_id long, mark long, n long, key long, tokens array<long>, p int, bits binary"), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrix = _matrix(whole, parts)
-    base = stash(whole.select("doc_id", "mark", "n", "key"), "classes")
+    base = stash(whole.select("doc_id", "mark", "n", "key"), "documents")
+    named = whole.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    classes = stash(named, "classes")
     drop(whole)
     kept = _kept(matrix)
     drop(matrix)
 
-    # the sets of classes that share a token with another
-    first = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    wanted = stash(first.join(kept.select("key").distinct(), "key", "left_semi").select("rep", F.col("key").alias("want")), "wanted")
-    members = source.join(_sent(wanted), F.col("doc_id") == F.col("rep"))
-    sets = stash(members.select("want", "text").mapInArrow(_hashes(k), "key long, n long, h binary, bits binary"), "hashes", let_go=True)
-    found = sets.agg(F.count("key"), F.count_distinct("key")).first()
-    if found[0] != found[1]:  # repeated rows of one doc_id in several tasks
-        again, sets = sets, stash(sets.dropDuplicates(["key"]), "hashes-once")
-        drop(again)
-
     # the partition: each class with the hub of most of its tokens
     pair = (F.col("key") != F.col("hub")) & (~F.col("heavy") | F.col("poor") | F.col("hub_poor"))
     often = kept.where(pair).groupBy("key", "hub").agg(F.count(F.lit(1)).alias("c"))
     tried = stash(often.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("b")).select(F.col("key").alias("u"), F.col("b.hub").alias("v")), "tried")
-    links = _verify(tried, sets, num, den, False, "links-1")
+    links = _verify(_bounded(tried, classes, num, den), classes, source, k, num, den, "links-1")
     roots = components(links)
 
     # each class that still stands apart with every hub of its tokens
-    left = stash(_apart(kept, roots), "left")
+    left = stash(_apart(kept, roots), "left", let_go=True)
     more = left.where(pair & (F.col("comp") != F.col("hub_comp"))).select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
     more = more.join(tried.toDF("tu", "tv"), ((F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv"))), "left_anti")
     more = more.where("u < v").union(more.where("u > v").select("v", "u")).distinct()
-    found = _verify(more, sets, num, den, True, "links-2")
+    found = _verify(_bounded(more, classes, num, den), classes, source, k, num, den, "links-2")
     if not found.isEmpty():
         links = links.union(found)
         drop(roots)
@@ -395,26 +390,26 @@ def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame
 
     # members other than the hub that still stand apart, against groups; rows with the same members once
     again = left.where("key <> hub").select("token", "key", "heavy", "poor", "hub")
-    open_pairs = _blocks(_apart(again, roots), sets, parts).mapInArrow(_open_groups(num, den), "u long, v long").distinct()
-    found = _verify(open_pairs, sets, num, den, False, "links-3")
-    drop(sets, kept, tried, wanted, left)
+    found = _blocks(_apart(again, roots), classes, parts).mapInArrow(_open_groups(num, den), "u long, v long").distinct()
+    found = _verify(found, classes, source, k, num, den, "links-3")
+    drop(kept, tried, left)
     if not found.isEmpty():
         drop(roots)
         roots = components(links.union(found))
 
     # every class with its component's smallest doc_id
-    named = first.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    named = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     small = named.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")
-    ids = stash(named.join(small, F.col("root") == F.col("r")).select(F.col("key").alias("c_key"), "component_id"), "components")
-    drop(roots)
+    ids = stash(named.join(small, F.col("root") == F.col("r")).select(F.col("key").alias("c_key"), "root", "component_id"), "components")
+    drop(roots, classes)
     release(docs.sparkSession)
     out = base.join(ids, F.col("key") == F.col("c_key"), "left")
-    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "mark", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. Documents link when den * common >= num * union."""
-    return _judged(docs, k, num, den, text).drop("mark")
+    return _judged(docs, k, num, den, text).drop("mark", "root")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text") -> DataFrame:
@@ -424,14 +419,14 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: s
     and those without a doc_id, all stay.
     """
     judged = _judged(docs, k, num, den, text).where("n_shingles > 0 and doc_id is not null")
-    each = judged.groupBy("doc_id", "mark", "component_id").agg(F.count(F.lit(1)).alias("times"))
-    best = each.where("doc_id = component_id").groupBy(F.col("component_id").alias("b_id")).agg(F.min("mark").alias("b_mark"))
-    stays = F.coalesce((F.col("doc_id") == F.col("b_id")) & (F.col("mark") == F.col("b_mark")), F.lit(False))
-    told = each.join(best, F.col("doc_id") == F.col("b_id"), "left").select("doc_id", "mark", stays.alias("stays"), "times")
+    each = judged.groupBy("doc_id", "mark", "root", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    best = each.where("doc_id = component_id").groupBy(F.col("root").alias("b_root")).agg(F.min("mark").alias("b_mark"))
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("b_mark"))
+    told = each.join(best, F.col("root") == F.col("b_root")).select("doc_id", "mark", stays.alias("stays"), "times")
     own = fresh(docs, "kept_id", "kept_mark", "kept_stays", "kept_times")
     told = stash(told.where("not stays or times > 1").toDF(*own), "near-duplicates", let_go=True)
     same = (docs["doc_id"].cast("long") == F.col(own[0])) & (F.xxhash64(docs[text]) == F.col(own[1]))
     joined = docs.join(_sent(told), same, "left")
     alone = joined.where(F.col(own[0]).isNull()).select(*docs.columns)
-    repeated = joined.where(F.col(own[2])).select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = joined.where(F.col(own[2])).select(*docs.columns).dropDuplicates(["doc_id", text])
     return alone.unionByName(repeated)

@@ -167,6 +167,10 @@ def test_edges(spark):
     docs = docs_of(spark, EDGES)
     kept = jaccard.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12] and kept.columns == docs.columns
+    named = docs_of(spark, [(None, "a b c d e f g h i j k l m n o p q r s t u v"), (None, "a b c d e f g h i j k l m n o p q r s t u w"), (5, "a b c d e f g h i j k l m n o p q r s t u w x")])
+    assert sorted((str(r.doc_id), r.component_id) for r in jaccard.link(named, 3, 80, 100).collect()) == [("5", 5), ("None", 5), ("None", 5)]
+    texts = docs_of(spark, [(3, "a b c d e f g"), (3, "t u v w x y z"), (4, "a b c d e f g")])  # one doc_id, two texts
+    assert sorted(r.text for r in jaccard.keep_one(texts).collect()) == ["a b c d e f g", "t u v w x y z"]
     twice = docs_of(spark, [(3, "a b c d e f g"), (3, "a b c d e f g"), (4, "a b c d e f g"), (None, "x y z"), (None, "x y z")])
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(twice).collect()) == ["3", "None", "None"]
 
