@@ -1,7 +1,7 @@
 """WARC archives compressed record by record with a Zstandard dictionary of their own.
 
-An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary built from its records;
-every record is then a frame of its own, so that one can be read without those before it.  Of records with
+An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary built from its records, in the
+standard dictionary format; archives too small to build one from have no such frame.  Every record is then a frame of its own, so that one can be read without those before it.  Of records with
 equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page_id is stored as ``response`` and the
 others as ``revisit`` records without payload.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.scratch import stash
 
-MIN_REVISIT, DICT_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 100, 32 << 10, 1 << 20, 16 << 20, 3
-SKIPPABLE, DATE, URN = 0x184D2A5D, "2024-01-01T00:00:00Z", "urn:barloom:page:"
+MIN_REVISIT, DICT_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES, LEVEL = 100, 32 << 10, 2 << 20, 16 << 20, 3
+SKIPPABLE, MAGIC, DATE, URN = 0x184D2A5D, bytes.fromhex("37a430ec"), "2024-01-01T00:00:00Z", "urn:barloom:page:"
 ARCHIVES = "archive string, n_records long, content binary"
 
 
@@ -46,25 +47,30 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from records spread over the archive; their own bytes where there are too few to train on."""
-    step, samples, size = max(1, sum(map(len, records)) // SAMPLE_BYTES), [], 0
-    for r in records[::step]:
-        samples.append(r[: 128 << 10])
-        size += len(samples[-1])
-        if size >= 2 * SAMPLE_BYTES:
-            break
+def dictionary(records: list[bytes]) -> bytes | None:
+    """A dictionary in the standard format from pieces spread evenly over all bytes of the archive; None if it is too small for one."""
+    size = sum(map(len, records))
+    piece = max(64, min(4096, size // 64))
+    step = max(piece, size * piece // SAMPLE_BYTES)
+    samples, at = [], 0  # at: where the next piece begins, from this record's start
+    for r in records:
+        while at < len(r):
+            samples.append(r[at : at + piece])
+            at += step
+        at -= len(r)
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(256, size // 8)), samples, k=256, d=8).as_bytes()
+        own = zstandard.train_dictionary(min(DICT_BYTES, max(256, size // 8)), samples, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:DICT_BYTES]
+        return None
+    return own if own[:4] == MAGIC else None
 
 
 def write_archive(records: list[bytes]) -> bytes:
-    own = dictionary(records)
-    out = io.BytesIO()
-    out.write(struct.pack("<II", SKIPPABLE, len(own)) + own)
-    compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(own)).compress
+    """The archive's bytes; without a leading frame where there is no dictionary, as for a few short records."""
+    own, out = dictionary(records), io.BytesIO()
+    if own:
+        out.write(struct.pack("<II", SKIPPABLE, len(own)) + own)
+    compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_FULLDICT) if own else None).compress
     for r in records:
         out.write(compress(r))
     return out.getvalue()
@@ -72,10 +78,11 @@ def write_archive(records: list[bytes]) -> bytes:
 
 def read_archive(content: bytes) -> Iterator[bytes]:
     magic, n = struct.unpack_from("<II", content)
-    if magic != SKIPPABLE:
-        raise ValueError("the archive doesn't begin with a dictionary")
-    view, at = memoryview(content), 8 + n
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8:at]))
+    view, at, own = memoryview(content), 0, None
+    if magic == SKIPPABLE:
+        at = 8 + n
+        own = zstandard.ZstdCompressionDict(content[8:at], dict_type=zstandard.DICT_TYPE_FULLDICT)
+    reader = zstandard.ZstdDecompressor(dict_data=own)
     while at < len(content):
         frame, parts = reader.decompressobj(), []
         while not frame.eof:
@@ -174,8 +181,10 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+                held = f"{base}/.{name}.{uuid.uuid4().hex}"  # a lost task leaves no half file under the archive's name
+                with store.open_output_stream(held, compression=None) as f:
                     f.write(content)
+                store.move(held, f"{base}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], names=["archive", "bytes"])
 
     return archives.select("archive", "content").mapInArrow(run, "archive string, bytes long")

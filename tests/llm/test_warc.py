@@ -31,13 +31,27 @@ def test_edges(spark, tmp_path):
     saved = warc.export(archives, f"file://{tmp_path}/out").collect()
     for r in saved:
         content = (tmp_path / "out" / r.archive).read_bytes()
-        assert len(content) == r.bytes and struct.unpack_from("<I", content)[0] == 0x184D2A5D
+        assert len(content) == r.bytes and struct.unpack_from("<I", content)[0] in (0x184D2A5D, 0xFD2FB528)
         records = list(warc.read_archive(content))
         assert all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in records)
     twice = spark.createDataFrame([(1, "u", BIG, "x", 1)] * 2, SCHEMA)
     assert [r.record_type for r in warc.read_back(warc.archive(twice)).collect()] == ["response"] * 2
 
 
+def test_dictionaries_have_the_standard_format():
+    long = [warc.record(k, "u", (" ".join(f"w{(k * 7919 + j * j) % 4000}" for j in range(600_000))).encode(), "d", 1, None) for k in range(3)]
+    few = [warc.record(k, "u", f"<p>{k} short page</p>".encode(), "d", 1, None) for k in range(200)]
+    for records in (few[:1], few[:3], few, long):
+        content = warc.write_archive(records)
+        magic, n = struct.unpack_from("<II", content)
+        assert list(warc.read_archive(content)) == records
+        if magic == 0x184D2A5D:
+            assert content[8:12] == bytes.fromhex("37a430ec") and n <= warc.DICT_BYTES
+        else:
+            assert magic == 0xFD2FB528 and len(records) < 4
+    assert len(warc.write_archive(long)) < sum(map(len, long)) / 2
+
+
 def test_records_are_frames_of_their_own():
     records = [warc.record(k, "http://x/", (f"<p>{k} " + "shared words of a site " * 30).encode(), "d", 1, None) for k in range(200)]
     content = warc.write_archive(records)
