@@ -67,13 +67,16 @@ def _known(run: str, encode) -> bool:
 def random_spans(text: str, taken: list[Span], encode, most: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
     """Runs of at least ``MIN_RUN`` characters, letters among them, that take too many tokens."""
     out: list[Span] = []
+    next_taken = covered = 0  # spans that begin before the run's end, and the farthest end of theirs
     for m in _RUN.finditer(text):
         a, run = m.start(), m[0].strip("-_=+/")
         if len(run) < MIN_RUN or not any(c.isalpha() for c in run):
             continue
         a = text.index(run, a)
         b = a + len(run)
-        if any(s < b and a < e for s, _, e in taken):
+        while next_taken < len(taken) and taken[next_taken][0] < b:
+            covered, next_taken = max(covered, taken[next_taken][2]), next_taken + 1
+        if covered > a:
             continue
         if len(run) < most * len(encode(run)) and not _known(run, encode):
             out.append((a, 3, b))
