@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as codec
 import re
+import time
 
 import pytest
 
@@ -53,6 +54,26 @@ def test_ids_made_from_titles_stay():
     assert html.main_text(f"<div><h2 id=related-work>Title</h2><p id=notice-period>{LONG}</p></div><div id=comments><p>{PROSE}</p></div>") == f"Title\n{LONG}"
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='elementor-widget-wrap'><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></div><div class=widget><p>{PROSE}</p></div>", None),
+    (f"<div class='content has-sidebar'><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></div><div class=sidebar><p>{PROSE}</p></div>", None),
+    (f"<article><h1>Title</h1><p class='share-price'>{LONG}</p><p>{OTHER}</p></article>", None),
+    (f"<article><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><label>Last</label></article>", "One\nTwo\nLast"),
+    (f"<div class=post><h1>Title</h1><p>{LONG}</p><p>{OTHER}</p></div><div class=comments>{f'<p>{LONG}</p>' * 9}</div>", None),
+])
+def test_names_alone_dont_remove_an_article(page, want):
+    assert html.main_text(page) == "\n".join(x for x in ["Title", LONG, OTHER.replace("&eacute;", "é").replace("&amp;", "&"), want] if x)
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<a href=\"x " * 100_000, "<p>" + "<a b='c>" * 120_000, "<div>" * 9000 + "</span>" * 120_000, "<b><td>" + "<i>" * 9000 + "</b>" * 250_000, "<div>" * 200_000, "<!" * 500_000, "</" * 500_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<p>x &lt;b&gt; &#233; &nope; y</p>", "x <b> é &nope; y"), ("<script>alert(1)", ""), ("< not a tag", "< not a tag"),
     ("<div hidden>gone</div><p>here</p>", "here"), ("<ul><li>one<li>two</ul>", "one\ntwo"), ("<p>a<br>b</p>", "a b"),
