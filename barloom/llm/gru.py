@@ -75,29 +75,35 @@ class Gru:
             dh = logits @ p["c"].T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            mine = order[cuts[c] : cuts[c + 1]]
-            if not len(mine):
-                continue
-            part, word = h[mine], ids[mine] - c * self.size
-            logits, at = part @ p["w"][c] + p["wb"][c], np.arange(len(mine))
-            logits -= logits.max(1, keepdims=True)
-            own = logits[at, word].copy()
-            np.exp(logits, out=logits)
-            total = logits.sum(1)
-            out[mine] += own - np.log(total)
-            if grads is not None:
-                logits /= total[:, None]
-                logits[at, word] -= 1
-                grads["w"][c] += part.T @ logits
-                grads["wb"][c] += logits.sum(0)
-                dh[mine] += logits @ p["w"][c].T
+        order = order[: cuts[-1]]  # of the words that share a class with others
+        part, word, at = h[order], ids[order] % self.size, np.arange(len(order))
+        logits = np.empty((len(order), self.size), h.dtype)
+        full = [c for c in range(self.classes) if cuts[c] < cuts[c + 1]]
+        for c in full:
+            mine = slice(cuts[c], cuts[c + 1])
+            np.matmul(part[mine], p["w"][c], out=logits[mine])
+            logits[mine] += p["wb"][c]
+        logits -= logits.max(1, keepdims=True)
+        own = logits[at, word].copy()
+        np.exp(logits, out=logits)
+        total = logits.sum(1)
+        out[order] += own - np.log(total)
+        if grads is not None:
+            logits /= total[:, None]
+            logits[at, word] -= 1
+            slope = np.empty_like(part)
+            for c in full:
+                mine = slice(cuts[c], cuts[c + 1])
+                grads["w"][c] += part[mine].T @ logits[mine]
+                grads["wb"][c] += logits[mine].sum(0)
+                np.matmul(logits[mine], p["w"][c].T, out=slope[mine])
+            dh[order] += slope
         return out, dh
 
     def train(self, docs: list[np.ndarray], end: int, epochs: int, lanes: int = 64, window: int = 32, rate: float = 0.01, seed: int = 0) -> list[float]:
         """Truncated backpropagation through windows; documents follow each other in lanes, the state starts anew at each.
 
-        Returns the mean loss of each epoch.
+        Moments and rows of the input table move with the steps that meet their words. Returns the mean loss of each epoch.
         """
         rng, k, losses = np.random.default_rng(seed), self.hidden, []
         m, v, t = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2)), None, 0
@@ -113,48 +119,57 @@ class Gru:
                 streams[lane].append(docs[d])
                 sizes[lane] += len(docs[d])
             y = np.full((int(sizes.max()), lanes), -1, np.int64)
-            for j, s in enumerate(streams):
-                if s:
-                    y[: sizes[j], j] = np.concatenate(s)
+            for at, j in enumerate(np.argsort(-sizes, kind="stable")):
+                if streams[j]:
+                    y[: sizes[j], at] = np.concatenate(streams[j])
+            sizes = np.sort(sizes)
             x = np.vstack((np.full((1, lanes), end), np.where(y[:-1] < 0, end, y[:-1])))
             h, loss, seen = np.zeros((lanes, k), np.float32), 0.0, 0
             for a in range(0, len(y), window):
-                xs, ys = x[a : a + window], y[a : a + window]
-                g = {n: np.zeros_like(w) for n, w in self.p.items()}
-                kept, states = [], np.zeros((len(xs), lanes, k), np.float32)
-                for i, row in enumerate(xs):
-                    before = h * (row != end)[:, None].astype(np.float32)
-                    h, *rest = self.step(self.p["x"][row] + self.p["b"], before)
-                    kept.append((before, *rest))
-                    states[i] = h
+                active = lanes - int(np.searchsorted(sizes, a, "right"))  # lanes that have ended are left out
+                xs, ys, h = x[a : a + window, :active], y[a : a + window, :active], h[:active]
+                steps_in = len(xs)
+                names, place = np.unique(xs, return_inverse=True)  # only these words' rows of the input table change
+                place = place.reshape(xs.shape)
+                table = self.p["x"][names] + self.p["b"]
+                g = {n: np.zeros_like(w) for n, w in self.p.items() if n != "x"}
+                live_in = (xs != end).astype(np.float32)[:, :, None]
+                states, before = (np.empty((steps_in, active, k), np.float32) for _ in range(2))
+                z, r, n, q = (np.empty((steps_in, active, k), np.float32) for _ in range(4))
+                for i in range(steps_in):
+                    np.multiply(h, live_in[i], out=before[i])
+                    states[i], z[i], r[i], n[i], q[i] = self.step(table[place[i]], before[i])
+                    h = states[i]
                 live = ys >= 0
                 ids = ys[live]
                 logp, dh_live = self.log_probs(states[live], ids, g)
                 loss, seen = loss - float(logp.sum()), seen + len(ids)
                 slope = np.zeros_like(states)
                 slope[live] = dh_live
-                back, gates = np.zeros((lanes, k), np.float32), np.zeros((len(xs), lanes, 3 * k), np.float32)
-                for i in range(len(xs) - 1, -1, -1):
-                    before, z, r, n, q = kept[i]
+                # what of a step's slope reaches its gates, for all steps at once
+                to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), q * r * (1 - r)
+                gates, inner = (np.empty((steps_in, active, 3 * k), np.float32) for _ in range(2))
+                back, turned = np.zeros((active, k), np.float32), np.ascontiguousarray(self.p["u"].T)
+                for i in range(steps_in - 1, -1, -1):
                     d = slope[i] + back
-                    dn = d * (1 - z) * (1 - n * n)
-                    dz, dr = d * (before - n) * z * (1 - z), dn * q * r * (1 - r)
-                    gates[i] = np.concatenate((dz, dr, dn), axis=1)
-                    inner = np.concatenate((dz, dr, dn * r), axis=1)
-                    g["u"] += before.T @ inner
-                    back = (d * z + inner @ self.p["u"].T) * (xs[i] != end)[:, None]
+                    dn = d * to_n[i]
+                    gates[i, :, :k], gates[i, :, k : 2 * k], gates[i, :, 2 * k :] = d * to_z[i], dn * to_r[i], dn
+                    inner[i, :, : 2 * k], inner[i, :, 2 * k :] = gates[i, :, : 2 * k], dn * r[i]
+                    back = (d * z[i] + inner[i] @ turned) * live_in[i]
+                g["u"] = before.reshape(-1, k).T @ inner.reshape(-1, 3 * k)
                 flat = gates.reshape(-1, 3 * k)
-                order = np.argsort(xs.ravel(), kind="stable")
-                names, first = np.unique(xs.ravel()[order], return_index=True)
-                g["x"][names] = np.add.reduceat(flat[order], first)
-                g["b"] += flat.sum(0)
+                order = np.argsort(place.ravel(), kind="stable")
+                first = np.searchsorted(place.ravel()[order], np.arange(len(names)))
+                rows = np.add.reduceat(flat[order], first)
+                g["b"] = flat.sum(0)
                 t += 1
-                pace = rate * max(0.1, 1 - t / (steps + 1))
+                pace, scale = rate * max(0.1, 1 - t / (steps + 1)), active / max(1, len(ids))
                 for name, w in self.p.items():
-                    s = np.clip(g[name] / max(1, len(ids)) * lanes, -5, 5)
-                    m[name] += 0.1 * (s - m[name])
-                    v[name] += 0.01 * (s * s - v[name])
-                    w -= pace * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-6)
+                    at = names if name == "x" else slice(None)
+                    s = np.clip((rows if name == "x" else g[name]) * np.float32(scale), -5, 5)
+                    m[name][at] += np.float32(0.1) * (s - m[name][at])
+                    v[name][at] += np.float32(0.01) * (s * s - v[name][at])
+                    w[at] -= np.float32(pace / (1 - 0.9**t)) * m[name][at] / (np.sqrt(v[name][at] * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
             losses.append(loss / max(1, seen))
         return losses
 
