@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,7 @@ def design(y: np.ndarray, model: str, lags: int | list[int], constant: bool) ->
         return np.column_stack(cols) if n else np.zeros((0, len(cols))), target, 0, lost + 1
     trend = np.arange(1, len(y) + 1, dtype=float)
     tested = {"sm_poly_1": trend**2, "sm_poly_2": trend**2, "sm_exp": trend, "sm_power": np.log(trend)}[model]
-    cols = [tested] + [np.ones(len(y))] * constant + ([trend] if model.startswith("sm_poly") else [])
+    cols = [tested, np.ones(len(y))] + ([trend] if model.startswith("sm_poly") else [])
     return np.column_stack(cols), y if model == "sm_poly_1" else np.log(y), 0, 0
 
 
@@ -108,8 +109,9 @@ def sup_statistics(x: np.ndarray, y: np.ndarray, ends: np.ndarray, tested: int,
 
 
 def sup_adf(df: DataFrame, model: str = "linear", lags: int | list[int] = 1, min_length: int = 20, add_constant: bool = True, phi: float = 0.0, column: str = "close", blocks: int = 16) -> DataFrame:
-    """(series_id, ts, statistic): the supremum over starts of the test's t-value at each end.
+    """(series_id, ts, statistic): the supremum over starts of the test's t-value at each end from the row after the first ``min_length``.
 
+    Ends without a well-posed fit have a null statistic. The sm_* models always have a constant.
     A series' ends are dealt to ``blocks`` tasks (interleaved, as later ends cost more); each has the whole series.
     """
     if model not in MODELS:
@@ -120,14 +122,16 @@ def sup_adf(df: DataFrame, model: str = "linear", lags: int | list[int] = 1, min
     if min_length <= most:
         raise AssertionError("min_length must exceed the lags")
     require_columns(df, column)
+    if model.startswith("sm_") and not add_constant:
+        warnings.warn(f"{model} always has a constant; add_constant=False has no effect", stacklevel=2)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts")
         x, target, tested, lost = design(frame["y"].to_numpy(float), model, lags, add_constant)
-        ends = np.arange(min_length - 1, len(target))
+        ends = np.arange(min_length, len(target))
         ends = ends[ends % blocks == key[1]]
         stat = sup_statistics(x, target, ends, tested, min_length, phi if model.startswith("sm_") else None)
-        return pd.DataFrame({"series_id": key[0], "ts": frame["ts"].to_numpy()[ends + lost], "statistic": stat}).dropna()
+        return pd.DataFrame({"series_id": key[0], "ts": frame["ts"].to_numpy()[ends + lost], "statistic": stat})
 
     rows = df.select("series_id", "ts", F.col(column).cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = dict(df.dtypes)

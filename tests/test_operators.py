@@ -302,7 +302,7 @@ def test_sup_adf_by_regressions(spark, model):
     y = np.random.default_rng(4).standard_normal(40).cumsum() + 50
     rows = breaks.sup_adf(frame(spark, close=y), model, 1, 15, True, 0.5, blocks=3).orderBy("ts").collect()
     x, target, tested, lost = breaks.design(y, model, 1, True)
-    assert len(rows) == len(target) - 14
+    assert len(rows) == len(target) - 15 == (25 if model.startswith("sm_") else 23)
     end, best = len(target) - 1, -np.inf
     for start in range(end - 14 + 1):
         a, b = x[start : end + 1], target[start : end + 1]
@@ -318,6 +318,9 @@ def test_break_arguments(spark):
     df = frame(spark, close=np.arange(30.0))
     with pytest.raises(ValueError):
         breaks.sup_adf(df, "other")
+    with pytest.warns(UserWarning):
+        bare = breaks.sup_adf(df, "sm_exp", 1, 15, False)
+    assert bare.count() == 15 and bare.collect() == breaks.sup_adf(df, "sm_exp", 1, 15, True).collect()
     with pytest.raises(AssertionError):
         breaks.sup_adf(df, phi=2)
     with pytest.raises(AssertionError):
