@@ -42,7 +42,7 @@ def dickey_fuller_chow(df: DataFrame, min_num_samples: int = 20, column: str = "
     w = by_series()
     work = df.select("series_id", "ts", F.col(column).alias("y"), F.lag(column).over(w).alias("x"), (F.row_number().over(w) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("series_id")).alias("n"))
     work = work.withColumn("d", F.col("y") - F.col("x"))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("series_id").orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, -1)  # grows only: one pass
     sums = work.select("series_id", "ts", "k", "n", F.sum(F.col("d") * F.col("x")).over(after).alias("sxy"), F.sum(F.col("x") * F.col("x")).over(after).alias("sxx"), F.sum(F.col("d") * F.col("d")).over(Window.partitionBy("series_id")).alias("syy"))
     b = F.try_divide(F.col("sxy"), F.col("sxx"))
     var = F.try_divide(F.col("syy") - b * F.col("sxy"), (F.col("n") - 2).cast("double"))

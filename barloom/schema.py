@@ -39,3 +39,15 @@ def nan_to_null(c: Column) -> Column:
 
 def identity(df: DataFrame) -> DataFrame:
     return df
+
+
+def fresh(df: DataFrame, *bases: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for base in bases:
+        while base.lower() in taken:
+            base = "_" + base
+        taken.add(base.lower())
+        out.append(base)
+    return out

@@ -378,3 +378,11 @@ def test_one_sort_for_an_operator(spark):
     plan = microstructure.vpin(frame(spark, base_asset_buy_volume=[1.0], base_asset_sell_volume=[1.0], base_asset_volume=[2.0]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_align_keeps_columns_of_its_own_names(spark):
+    keys = spark.createDataFrame([("a", 10), ("a", 10), ("a", 20), ("b", 5)], "series_id string, ts int")
+    rows = spark.createDataFrame([("a", 3, 1.0, 7), ("a", 10, 3.0, 8), ("a", 11, 5.0, 9), ("a", 25, 9.0, 9), ("b", 6, 1.0, 1)], "series_id string, ts int, __key double, __row int")
+    got = {(r.series_id, r.ts): (r["__key"], r["__row"]) for r in align.align_on(keys, rows, "max").collect()}
+    assert got == {("a", 10): (3.0, 8), ("a", 20): (5.0, 9), ("b", 5): (None, None)}
+    assert align.align_on(keys.limit(0), rows).count() == 0 and align.align_on(keys, rows.limit(0)).count() == 3
