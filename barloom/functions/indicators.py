@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import by_series, full, last_rows, seeded_ema
+from barloom.schema import fresh
 
 Indicator = Callable[..., DataFrame]
 _REGISTRY: dict[str, tuple[str, Indicator]] = {}
@@ -50,6 +51,18 @@ def dema(df: DataFrame, real: str, timeperiod: int = 30, out: str = "dema") -> D
     return work.withColumn(out, 2 * F.col("__e1") - F.col("__e2")).drop("__e1", "__e2")
 
 
+@indicator("Overlap Studies")
+def t3(df: DataFrame, real: str, timeperiod: int = 5, vfactor: float = 0.7, out: str = "t3") -> DataFrame:
+    """The generalised double average, three times over, as a weighted sum of the third to sixth nested averages."""
+    v, names = vfactor, fresh(df, *(f"__t{k}" for k in range(1, 7)))
+    work, source = df, real
+    for name in names:
+        work, source = seeded_ema(work, name, F.col(source), timeperiod), name
+    e3, e4, e5, e6 = (F.col(n) for n in names[2:])
+    value = (1 + v) ** 3 * e3 - 3 * v * (1 + v) ** 2 * e4 + 3 * v**2 * (1 + v) * e5 - v**3 * e6
+    return work.withColumn(out, value).drop(*names)
+
+
 @indicator("Overlap Studies")
 def tema(df: DataFrame, real: str, timeperiod: int = 30, out: str = "tema") -> DataFrame:
     work = df
@@ -245,6 +258,94 @@ def adx(df: DataFrame, high: str = "high", low: str = "low", close: str = "close
     return seeded_ema(work, out, F.col("__dx"), timeperiod, 1 / timeperiod).drop("__dx", "__dx_plus", "__dx_minus")
 
 
+@indicator("Momentum Indicators")
+def adxr(df: DataFrame, high: str = "high", low: str = "low", close: str = "close", timeperiod: int = 14, out: str = "adxr") -> DataFrame:
+    """The mean of the index of now and of n - 1 bars ago."""
+    (a,) = fresh(df, "__adx")
+    work = adx(df, high, low, close, timeperiod, a)
+    return work.withColumn(out, (F.col(a) + F.lag(a, timeperiod - 1).over(_w())) / 2).drop(a)
+
+
+@indicator("Momentum Indicators")
+def plus_di(df: DataFrame, high: str = "high", low: str = "low", close: str = "close", timeperiod: int = 14, out: str = "plus_di") -> DataFrame:
+    (d,) = fresh(df, "__di")
+    return dx(df, high, low, close, timeperiod, d).withColumn(out, F.col(f"{d}_plus")).drop(d, f"{d}_plus", f"{d}_minus")
+
+
+@indicator("Momentum Indicators")
+def minus_di(df: DataFrame, high: str = "high", low: str = "low", close: str = "close", timeperiod: int = 14, out: str = "minus_di") -> DataFrame:
+    (d,) = fresh(df, "__di")
+    return dx(df, high, low, close, timeperiod, d).withColumn(out, F.col(f"{d}_minus")).drop(d, f"{d}_plus", f"{d}_minus")
+
+
+def _directed(df: DataFrame, high: str, low: str, n: int, move: str, out: str) -> DataFrame:
+    """n times the smoothed mean of the moves in one direction."""
+    work = seeded_ema(_moves(df, high, low), out, F.col(move), n, 1 / n)
+    return work.withColumn(out, n * F.col(out)).drop("__plus", "__minus")
+
+
+@indicator("Momentum Indicators")
+def plus_dm(df: DataFrame, high: str = "high", low: str = "low", timeperiod: int = 14, out: str = "plus_dm") -> DataFrame:
+    return _directed(df, high, low, timeperiod, "__plus", out)
+
+
+@indicator("Momentum Indicators")
+def minus_dm(df: DataFrame, high: str = "high", low: str = "low", timeperiod: int = 14, out: str = "minus_dm") -> DataFrame:
+    return _directed(df, high, low, timeperiod, "__minus", out)
+
+
+@indicator("Momentum Indicators")
+def rocr(df: DataFrame, real: str, timeperiod: int = 10, out: str = "rocr") -> DataFrame:
+    return df.withColumn(out, F.try_divide(F.col(real), F.lag(real, timeperiod).over(_w())))
+
+
+@indicator("Momentum Indicators")
+def rocr100(df: DataFrame, real: str, timeperiod: int = 10, out: str = "rocr100") -> DataFrame:
+    return df.withColumn(out, 100 * F.try_divide(F.col(real), F.lag(real, timeperiod).over(_w())))
+
+
+@indicator("Momentum Indicators")
+def aroonosc(df: DataFrame, high: str = "high", low: str = "low", timeperiod: int = 14, out: str = "aroonosc") -> DataFrame:
+    (a,) = fresh(df, "__aroon")
+    return aroon(df, high, low, timeperiod, a).withColumn(out, F.col(f"{a}_up") - F.col(f"{a}_down")).drop(f"{a}_up", f"{a}_down")
+
+
+@indicator("Momentum Indicators")
+def ultosc(df: DataFrame, high: str = "high", low: str = "low", close: str = "close", timeperiod1: int = 7, timeperiod2: int = 14, timeperiod3: int = 28, out: str = "ultosc") -> DataFrame:
+    """Buying pressure over true range, summed over three periods, weighted 4, 2, 1 from the shortest to the longest."""
+    w, (p, t) = _w(), fresh(df, "__pressure", "__range")
+    before = F.lag(close).over(w)
+    pressure = F.when(before.isNotNull(), F.col(close) - F.least(F.col(low), before))
+    work = df.withColumn(t, _true_range(high, low, close)).withColumn(p, pressure)
+    a, b, c = (F.try_divide(full(F.col(p), F.sum, n, w), full(F.col(t), F.sum, n, w)) for n in sorted((timeperiod1, timeperiod2, timeperiod3)))
+    return work.withColumn(out, 100 * (4 * a + 2 * b + c) / 7).drop(p, t)
+
+
+@indicator("Momentum Indicators")
+def stoch(df: DataFrame, high: str = "high", low: str = "low", close: str = "close", fastk_period: int = 5, slowk_period: int = 3, slowd_period: int = 3, out: str = "stoch") -> DataFrame:
+    """{out}_k: the fast value's plain mean; {out}_d: the mean of that."""
+    w, (f,) = _w(), fresh(df, "__fast")
+    work = stochf(df, high, low, close, fastk_period, slowk_period, f).withColumn(f"{out}_k", F.col(f"{f}_d"))
+    return work.withColumn(f"{out}_d", full(F.col(f"{out}_k"), F.avg, slowd_period, w)).drop(f"{f}_k", f"{f}_d")
+
+
+@indicator("Momentum Indicators")
+def stochrsi(df: DataFrame, real: str, timeperiod: int = 14, fastk_period: int = 5, fastd_period: int = 3, out: str = "stochrsi") -> DataFrame:
+    """Where the relative strength lies between its extremes of the last bars; {out}_k, {out}_d."""
+    (x,) = fresh(df, "__rsi")
+    return stochf(rsi(df, real, timeperiod, x), x, x, x, fastk_period, fastd_period, out).drop(x)
+
+
+@indicator("Momentum Indicators")
+def macdfix(df: DataFrame, real: str, signalperiod: int = 9, out: str = "macdfix") -> DataFrame:
+    """macd with the fixed smoothing factors 0.15 and 0.075."""
+    f, s, m = fresh(df, "__fast", "__slow", "__macd")
+    work = seeded_ema(seeded_ema(df, f, F.col(real), 12, 0.15), s, F.col(real), 26, 0.075).withColumn(m, F.col(f) - F.col(s))
+    work = seeded_ema(work, f"{out}_signal", F.col(m), signalperiod)
+    there = F.col(f"{out}_signal").isNotNull()
+    return work.withColumn(out, F.when(there, F.col(m))).withColumn(f"{out}_hist", F.col(m) - F.col(f"{out}_signal")).drop(f, s, m)
+
+
 # Volume
 
 
@@ -263,6 +364,19 @@ def ad(df: DataFrame, high: str = "high", low: str = "low", close: str = "close"
     return work.withColumn(out, F.sum("__s").over(_w().rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
+@indicator("Volume Indicators")
+def adosc(
+    df: DataFrame, high: str = "high", low: str = "low", close: str = "close", volume: str = "base_asset_volume", fastperiod: int = 3, slowperiod: int = 10, out: str = "adosc"
+) -> DataFrame:
+    """Fast less slow average of the accumulation line; both start from its first value."""
+    a, f, s = fresh(df, "__ad", "__fast", "__slow")
+    work = ad(df, high, low, close, volume, a)
+    for name, n in ((f, fastperiod), (s, slowperiod)):
+        work = seeded_ema(work, name, F.col(a), 1, 2 / (n + 1))
+    ready = F.row_number().over(_w()) >= max(fastperiod, slowperiod)
+    return work.withColumn(out, F.when(ready, F.col(f) - F.col(s))).drop(a, f, s)
+
+
 # Volatility
 
 
@@ -351,9 +465,59 @@ def correl(df: DataFrame, real0: str, real1: str, timeperiod: int = 30, out: str
     return df.withColumn(out, F.nanvl(full(F.col(real0), lambda c: F.corr(c, F.col(real1)), timeperiod, _w()), F.lit(None).cast("double")))
 
 
+@indicator("Statistic Functions")
+def linearreg_angle(df: DataFrame, real: str, timeperiod: int = 14, out: str = "linearreg_angle") -> DataFrame:
+    return _over_time(df, real, timeperiod, out, lambda b, y, h: F.degrees(F.atan(b)))
+
+
+@indicator("Statistic Functions")
+def beta(df: DataFrame, real0: str, real1: str, timeperiod: int = 5, out: str = "beta") -> DataFrame:
+    """The slope of the second column's returns over the first's; 0 where the first's returns are all equal."""
+    w, (x, y) = _w(), fresh(df, "__x", "__y")
+    work = df
+    for name, c in ((x, real0), (y, real1)):
+        before = F.lag(c).over(w)
+        work = work.withColumn(name, F.try_divide(F.col(c) - before, before))
+    slope = full(F.col(y), lambda c: F.regr_slope(c, F.col(x)), timeperiod, w)
+    seen = F.count(F.col(x) + F.col(y)).over(last_rows(w, timeperiod))
+    return work.withColumn(out, F.when(seen == timeperiod, F.coalesce(F.nanvl(slope, F.lit(0.0)), F.lit(0.0)))).drop(x, y)
+
+
 # Math
 
 
+def _extreme_at(df: DataFrame, real: str, n: int, sign: int) -> tuple[DataFrame, str, Column]:
+    """Rows with a number column, its name, and the number (from 0) of the extreme of the last n values; the latest of equal ones."""
+    w = _w()
+    at = F.row_number().over(w) - 1
+    names = fresh(df, "__row")
+    work = df.withColumn(names[0], at)
+    best = F.max_by(names[0], F.struct(sign * F.col(real), F.col(names[0]))).over(last_rows(w, n))
+    return work, names[0], F.when(F.count(real).over(last_rows(w, n)) == n, best)
+
+
+@indicator("Math Operators")
+def maxindex(df: DataFrame, real: str, timeperiod: int = 30, out: str = "maxindex") -> DataFrame:
+    work, row, best = _extreme_at(df, real, timeperiod, 1)
+    return work.withColumn(out, best).drop(row)
+
+
+@indicator("Math Operators")
+def minindex(df: DataFrame, real: str, timeperiod: int = 30, out: str = "minindex") -> DataFrame:
+    work, row, best = _extreme_at(df, real, timeperiod, -1)
+    return work.withColumn(out, best).drop(row)
+
+
+@indicator("Math Operators")
+def minmax(df: DataFrame, real: str, timeperiod: int = 30, out: str = "minmax") -> DataFrame:
+    return max_(min_(df, real, timeperiod, f"{out}_min"), real, timeperiod, f"{out}_max")
+
+
+@indicator("Math Operators")
+def minmaxindex(df: DataFrame, real: str, timeperiod: int = 30, out: str = "minmaxindex") -> DataFrame:
+    return maxindex(minindex(df, real, timeperiod, f"{out}_min"), real, timeperiod, f"{out}_max")
+
+
 @indicator("Math Operators")
 def max_(df: DataFrame, real: str, timeperiod: int = 30, out: str = "max") -> DataFrame:
     return df.withColumn(out, full(F.col(real), F.max, timeperiod, _w()))

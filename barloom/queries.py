@@ -308,6 +308,54 @@ on_bars(
         "correl": full_sql("corr(high, low)", "high", 30), "max": full_sql("max(close)", "close", 30), "min": full_sql("min(close)", "close", 30), "sum": full_sql("sum(close)", "close", 30),
     },
 )
+on_bars(
+    "ta_ratios_extremes",
+    _chain(
+        lambda b: ind.rocr(b, "close"), lambda b: ind.rocr100(b, "close"), ind.aroonosc, ind.ultosc, ind.stoch, _MAKE("LINEARREG_ANGLE", "close"), _MAKE("BETA", ["high", "low"]),
+        _MAKE("MAXINDEX", "close"), _MAKE("MININDEX", "close"), _MAKE("MINMAX", "close"), _MAKE("MINMAXINDEX", "close", kw_args={"timeperiod": 10}),
+    ),
+    {
+        "rocr": f"close / {lag_sql('close', 10)}", "rocr100": f"100 * close / {lag_sql('close', 10)}",
+        "aroonosc": "case when pos > 14 then 100 * (arg_max(pos, row(high, pos)) over f15 - arg_max(pos, row(-low, pos)) over f15) / 14.0 end",
+        "ultosc": "100 * (" + " + ".join(f"{k} * {full_sql('sum(bp)', 'bp', n)} / nullif({full_sql('sum(tr)', 'tr', n)}, 0)" for k, n in ((4, 7), (2, 14), (1, 28))) + ") / 7",
+        "stoch_k": "sk", "stoch_d": full_sql("avg(sk)", "sk", 3), "linearreg_angle": f"degrees(atan({_REGR('regr_slope')}))",
+        "beta": "case when pos > 5 then coalesce(case when isfinite(bs) then bs end, 0) end",
+        "maxindex": "case when pos >= 30 then arg_max(pos, row(close, pos)) over f30 - 1 end", "minindex": "case when pos >= 30 then arg_max(pos, row(-close, pos)) over f30 - 1 end",
+        "minmax_min": full_sql("min(close)", "close", 30), "minmax_max": full_sql("max(close)", "close", 30),
+        "minmaxindex_min": "case when pos >= 10 then arg_max(pos, row(-close, pos)) over f10 - 1 end", "minmaxindex_max": "case when pos >= 10 then arg_max(pos, row(close, pos)) over f10 - 1 end",
+    },
+    f"""t1 as (select *, {_TR} as tr, case when {lag_sql("close")} is not null then close - least(low, {lag_sql("close")}) end as bp, high / {lag_sql("high")} - 1 as x, low / {lag_sql("low")} - 1 as y,
+  100 * (close - {full_sql('min(low)', 'low', 5)}) / nullif({full_sql('max(high)', 'high', 5)} - {full_sql('min(low)', 'low', 5)}, 0) as k from b),
+t as (select *, {full_sql("avg(k)", "k", 3)} as sk, regr_slope(y, x) over (partition by series_id order by ts rows between 4 preceding and current row) as bs from t1)""", "t",
+    "window f10 as (partition by series_id order by ts rows between 9 preceding and current row), f15 as (partition by series_id order by ts rows between 14 preceding and current row), f30 as (partition by series_id order by ts rows between 29 preceding and current row)",
+)
+on_bars(
+    "ta_direction_smoothed", _chain(ind.adxr, ind.plus_di, ind.minus_di, ind.plus_dm, ind.minus_dm),
+    {"adxr": "xr.v", "plus_di": "dx.p", "minus_di": "dx.m", "plus_dm": "14 * ap.v", "minus_dm": "14 * am.v"},
+    f"{_DX},\nxr as (select series_id, pos, (v + lag(v, 13) over (partition by series_id order by pos)) / 2 as v from ax)", joined("xr", "dx", "ap", "am"),
+)
+on_bars(
+    "ta_stochrsi_macdfix", _chain(lambda b: ind.stochrsi(b, "close"), lambda b: ind.macdfix(b, "close")),
+    {"stochrsi_k": "sr.k", "stochrsi_d": "sd.v", "macdfix": "case when mg.v is not null then mm.v end", "macdfix_signal": "mg.v", "macdfix_hist": "mm.v - mg.v"},
+    f"""{_RSI},
+sr as (select series_id, pos, 100 * (v - lo) / nullif(hi - lo, 0) as k from (select rs.series_id, rs.pos, v, case when count(v) over w = 5 then min(v) over w end as lo, case when count(v) over w = 5 then max(v) over w end as hi from rs window w as (partition by series_id order by pos rows between 4 preceding and current row))),
+sd as (select series_id, pos, case when count(k) over w = 3 then avg(k) over w end as v from sr window w as (partition by series_id order by pos rows between 2 preceding and current row)),
+{ema_sql("mf", "b", "close", 12, 0.15)},
+{ema_sql("ms", "b", "close", 26, 0.075)},
+mm as (select mf.series_id, mf.pos, mf.v - ms.v as v from mf join ms using (series_id, pos)),
+{ema_sql("mg", "mm", "v", 9)}""", joined("sr", "sd", "mm", "mg"),
+)
+on_bars(
+    "ta_t3_adosc", _chain(lambda b: ind.t3(b, "close"), ind.adosc),
+    {"t3": "4.913 * e3.v - 6.069 * e4.v + 2.499 * e5.v - 0.343 * e6.v", "adosc": "case when b.pos >= 10 then af.v - al.v end"},
+    ",\n".join(ema_sql(f"e{k}", f"e{k - 1}" if k > 1 else "b", "v" if k > 1 else "close", 5) for k in range(1, 7))
+    + f",\nad as (select *, sum(coalesce((2 * close - high - low) / nullif(high - low, 0), 0) * base_asset_volume) over (partition by series_id order by ts) as a from b),\n{ema_sql('af', 'ad', 'a', 1, 0.5)},\n{ema_sql('al', 'ad', 'a', 1, 2 / 11)}",
+    joined("e3", "e4", "e5", "e6", "af", "al"),
+)
+_MATHS = ("log10", "exp", "floor", "ceil", "sin", "cos", "tan", "sinh", "cosh", "atan", "asin", "acos")
+on_bars(
+    "ta_math", lambda b: _chain(*(_MAKE(n.upper(), "x") for n in _MATHS))(b.withColumn("x", F.col("close") / (F.col("close") + 2))), {n: f"{n}(close / (close + 2))" for n in _MATHS},
+)
 on_bars(
     "ta_patterns", _chain(ind.cdldoji, ind.cdlengulfing),
     {
