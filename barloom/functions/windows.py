@@ -94,11 +94,12 @@ def seeded_ema(df: DataFrame, out: str, x: Column, n: int, alpha: float | None =
 
 def erf(x: Column) -> Column:
     """The error function by its series of positive terms; +-1 beyond 6."""
-    term = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    # the square is part of the state, so that ``x`` is evaluated once and not at each step
+    term = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"), (2 * x * x).alias("q"))
 
     def step(a: Column, n: Column) -> Column:
-        t = a["t"] * (2 * x * x / (2 * n + 1))
-        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+        t = a["t"] * (a["q"] / (2 * n + 1))
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"), a["q"].alias("q"))
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(120)), term, step)["s"]
     inside = F.lit(2 / math.sqrt(math.pi)) * x * F.exp(-x * x) * total

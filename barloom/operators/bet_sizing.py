@@ -28,9 +28,10 @@ def signal(probability: Column, prediction: Column, num_classes: int) -> Column:
 def average_active(df: DataFrame, size: str = "bet_size", end: str = "event_end_time", out: str = "average_bet") -> DataFrame:
     """At each start and end time the mean of the bets open then: start <= t and (t < end or no end); 0 if none."""
     require_columns(df, "series_id", "ts", size, end)
-    up = df.select("series_id", "ts", F.col(size).alias("m"), F.lit(1).alias("k"))
-    down = df.where(F.col(end).isNotNull()).select("series_id", F.col(end).alias("ts"), (-F.col(size)).alias("m"), F.lit(-1).alias("k"))
-    marks = up.unionByName(down).groupBy("series_id", "ts").agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
+    up = F.struct(F.col("ts").alias("ts"), F.col(size).alias("m"), F.lit(1).alias("k"))
+    down = F.struct(F.col(end).alias("ts"), (-F.col(size)).alias("m"), F.lit(-1).alias("k"))
+    both = df.select("series_id", F.explode(F.when(F.col(end).isNotNull(), F.array(up, down)).otherwise(F.array(up))).alias("x"))
+    marks = both.groupBy("series_id", F.col("x.ts").alias("ts")).agg(F.sum("x.m").alias("m"), F.sum("x.k").alias("k"))
     w = by_series().rowsBetween(Window.unboundedPreceding, 0)
     total, open_bets = F.sum("m").over(w), F.sum("k").over(w)
     return marks.select("series_id", "ts", F.when(open_bets > 0, total / open_bets).otherwise(0.0).alias(out))
@@ -45,7 +46,7 @@ def bet_sizes(
     m = signal(F.col(probability), F.col(prediction), num_classes)
     work = df.withColumn(out, m * F.col(side) if meta_labeling else m)
     if average:
-        work = average_active(work, out, end, "__a").withColumnRenamed("__a", out)
+        work = average_active(work, out, end, out)
     if discretised:
         work = work.withColumn(out, discretise(F.col(out), step_size))
     return work.withColumn(out, F.abs(out))

@@ -30,8 +30,21 @@ def cusum_filter(df: DataFrame, threshold: float, column: str = "close") -> Data
     return rows.select("series_id", F.explode(F.aggregate("rows", start, moved)["e"]).alias("ts"))
 
 
+def closed(events: DataFrame) -> DataFrame:
+    """The events; the job fails where one has no start or no end, or ends before it starts."""
+    require_columns(events, "series_id", "start_ts", "end_ts")
+    start, end = F.col("start_ts"), F.col("end_ts")
+    bad = F.raise_error(F.lit("an event needs a start and an end that isn't before it"))
+    fine = F.coalesce(start <= end, F.lit(False))
+    return events.withColumns({"start_ts": F.when(fine, start).otherwise(bad.cast(dict(events.dtypes)["start_ts"])), "end_ts": F.when(fine, end).otherwise(bad.cast(dict(events.dtypes)["end_ts"]))})
+
+
 def bar_index(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """(series_id, ts, starts, ends): all starts and ends, and the bars between the first start and the last end."""
+    """(series_id, ts, starts, ends): all starts and ends, and the bars between the first start and the last end.
+
+    An event without a start or an end is an error.
+    """
+    events = closed(events)
     marks = events.select("series_id", F.explode(F.array(F.struct(F.col("start_ts").alias("ts"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("end_ts").alias("ts"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("m"))
     marks = marks.select("series_id", "m.ts", "m.s", "m.e")
     both = marks.unionByName(bars.select("series_id", "ts", F.lit(0).alias("s"), F.lit(0).alias("e")))
@@ -55,7 +68,7 @@ def _mean_between(events: DataFrame, sums: DataFrame, total: bool = False) -> Da
     run = sums.withColumn("run", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     a = run.select(F.col("series_id").alias("sa"), F.col("ts").alias("ta"), (F.col("run") - F.col("x")).alias("ra"), F.col("pos").alias("pa"))
     b = run.select(F.col("series_id").alias("sb"), F.col("ts").alias("tb"), F.col("run").alias("rb"), F.col("pos").alias("pb"))
-    both = events.join(a, (F.col("series_id") == F.col("sa")) & (F.col("start_ts") == F.col("ta"))).join(b, (F.col("series_id") == F.col("sb")) & (F.col("end_ts") == F.col("tb")))
+    both = closed(events).join(a, (F.col("series_id") == F.col("sa")) & (F.col("start_ts") == F.col("ta"))).join(b, (F.col("series_id") == F.col("sb")) & (F.col("end_ts") == F.col("tb")))
     value = F.col("rb") - F.col("ra")
     return both.withColumn("value", value if total else value / (F.col("pb") - F.col("pa") + 1)).drop("sa", "ta", "ra", "pa", "sb", "tb", "rb", "pb")
 
