@@ -12,7 +12,7 @@ import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schema import require_columns
@@ -96,23 +96,32 @@ class CombPurgedKFold:
         return whole.where("test or ok").select("round", "pos", F.when(F.col("test"), "test").otherwise("train").alias("role"))
 
 
+def dealt_paths(cv: CombPurgedKFold, seed: int = 0) -> list[tuple[int, int, int]]:
+    """(round, fold, path): the whole path that a round's test fold belongs to, in seeded random order."""
+    n, rng = back_test_paths(cv.n_groups, cv.n_test_splits), random.Random(seed)
+    left = {f: rng.sample(range(n), n) for f in range(cv.n_groups)}
+    return [(r, f, left[f].pop()) for r, chosen in enumerate(cv.rounds()) for f in chosen]
+
+
 def cross_validation_paths(
     cv: CombPurgedKFold, samples: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], pred: str = "pred_time", eval_: str = "eval_time", seed: int = 0
 ) -> DataFrame:
     """(path, pos, fold, ...prediction columns): a model is fitted per round and the test folds' predictions are put
-    together to ``back_test_paths`` whole paths, in seeded random order.  ``fit`` takes train rows and gives a predictor."""
+    together to ``back_test_paths`` whole paths, in seeded random order.  ``fit`` takes train rows and gives a predictor.
+    The rows of all rounds stay cached until the session drops its cache."""
     roles = cv.split(samples, pred, eval_)
     numbered = samples.withColumn("pos", F.row_number().over(Window.orderBy(pred, eval_)) - 1)
-    n, rng = samples.count(), random.Random(seed)
-    paths = {f: rng.sample(range(back_test_paths(cv.n_groups, cv.n_test_splits)), back_test_paths(cv.n_groups, cv.n_test_splits)) for f in range(cv.n_groups)}
+    n, dealt = samples.count(), {(r, f): p for r, f, p in dealt_paths(cv, seed)}
+    # every round reads it, so it is kept (on disk where memory ends; what a lost executor held is computed again)
+    placed = numbered.join(roles, "pos").persist()
     parts: list[DataFrame] = []
     for r, chosen in enumerate(cv.rounds()):
-        own = numbered.join(roles.where(F.col("round") == r), "pos")
+        own = placed.where(F.col("round") == r)
         predict = fit(own.where("role = 'train'").drop("round", "role"))
         for f in chosen:
             a, b = cv.bounds(n)[f]
             rows = own.where((F.col("role") == "test") & (F.col("pos") >= a) & (F.col("pos") < b)).drop("round", "role")
-            parts.append(predict(rows).withColumn("fold", F.lit(f)).withColumn("path", F.lit(paths[f].pop())))
+            parts.append(predict(rows).withColumn("fold", F.lit(f)).withColumn("path", F.lit(dealt[r, f])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,3 +132,10 @@ def log_uniform(n: int, a: float = 1.0, b: float = math.e, seed: int = 0) -> Ite
     """Values whose logarithm is uniform between those of a and b."""
     rng = random.Random(seed)
     return (a * math.exp(rng.random() * math.log(b / a)) for _ in range(n))
+
+
+def log_uniform_column(a: float = 1.0, b: float = math.e, seed: int = 0) -> Column:
+    """A value for each row whose logarithm is uniform between those of a and b."""
+    if not 0 < a <= b:
+        raise ValueError("0 < a <= b is needed")
+    return F.lit(float(a)) * F.exp(F.rand(seed) * F.lit(math.log(b / a)))

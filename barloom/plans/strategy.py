@@ -6,6 +6,7 @@ probabilities in an array column ``probability`` in the order of its classes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from barloom.operators.align import align_on
 from barloom.operators.bet_sizing import bet_sizes
 from barloom.operators.labels import daily_volatility
-from barloom.schema import require_columns
+from barloom.schema import must, require_columns, unique_keys
 
 Step = Callable[[DataFrame], DataFrame]
 KEYS = ["series_id", "ts"]
@@ -73,7 +74,24 @@ class StrategySignalPipeline:
         extra = [F.col("side_pred").alias("primary_side_pred")] * self.use_predictions
         if self.use_probabilities:
             extra += [F.get("probability", F.lit(i)).alias(f"primary_side_pred_proba_{i}") for i in range(self.num_classes)]
-        return rows.join(predicted.select(*KEYS, *extra), KEYS)
+        out = rows.join(predicted.select(*KEYS, *extra), KEYS)
+        for c in (c for c in out.columns if c not in KEYS):
+            out = must(out, F.col(c).isNotNull(), f"the metalabel model's column {c} has a NULL")
+        return out
+
+    def _check_ranges(self, frames: dict[str, DataFrame]) -> None:
+        """An action where frames are aligned: an error if a series' frame ends before the leading one starts, a warning if it
+        starts earlier or later by more than a tenth of the leading frame's time."""
+        for name in (n for n in frames if self.align_on and n != self.align_on):
+            lead = frames[self.align_on].groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+            own = frames[name].groupBy("series_id").agg(F.min("ts").alias("b"), F.max("ts").alias("y"))
+            seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+            off = F.abs(seconds("b") - seconds("a")) > (seconds("z") - seconds("a")) / 10
+            apart, late = lead.join(own, "series_id").agg(F.count_if(F.col("a") > F.col("y")), F.count_if(off)).first()
+            if apart:
+                raise ValueError(f"no time of {name} meets {self.align_on} in {apart} series")
+            if late:
+                warnings.warn(f"{name} starts much earlier or later than {self.align_on} in {late} series", stacklevel=3)
 
     def dataset_primary(self, frames: dict[str, DataFrame], y: DataFrame, label: str = "label") -> DataFrame:
         return self.aligned(frames).join(y.where(F.col(label).isNotNull()).select(*KEYS, label), KEYS)
@@ -88,6 +106,7 @@ class StrategySignalPipeline:
 
     def predict(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """primary: rows with side_pred; metalabeling, if there is such a model: rows with meta_proba."""
+        self._check_ranges(frames)
         predicted = self.primary(self.aligned({k: frames[k] for k in self.features}))
         out = {"primary": predicted}
         if self.metalabel:
@@ -133,8 +152,8 @@ class StrategyTrader:
         return said
 
     def create_signal(self, frames: dict[str, DataFrame]) -> DataFrame:
-        """(series_id, ts, side, size, strategy_valid): sides within [-1, 1] and sizes within [0, 1]."""
-        rows = self.pipeline.get_side_and_size(frames)
+        """(series_id, ts, side, size, strategy_valid): sides within [-1, 1] and sizes within [0, 1]; repeated keys in a frame are an error."""
+        rows = self.pipeline.get_side_and_size({k: unique_keys(df, f"the frame {k}") for k, df in frames.items()})
         valid = F.col("side").between(-1, 1) & F.col("size").between(0, 1)
         return rows.withColumn("strategy_valid", valid)
 
@@ -147,4 +166,5 @@ class StrategyTrader:
 
     def create_position(self, frames: dict[str, DataFrame]) -> DataFrame:
         signal, bars = self.create_signal(frames), self.create_strategy_bars(frames[self.volatility_frame])
-        return signal.join(bars, KEYS, "full").select(*KEYS, "side", "size", "stop_loss", "profit_taking", "num_expiration_bars")
+        both = signal.join(bars, KEYS, "full").select(*KEYS, "side", "size", "stop_loss", "profit_taking", "num_expiration_bars")
+        return unique_keys(both, "the position")

@@ -605,16 +605,16 @@ def _samples_of(b: DataFrame) -> DataFrame:
     return b.select(F.col("ts").alias("pred_time"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("eval_time"))
 
 
-def _cv_sql() -> str:
-    rounds = ", ".join(f"({k}, {list(c)})" for k, c in enumerate(_CV.rounds()))
-    return f"""with {BARS}, s as (select row_number() over (order by ts) - 1 as pos, ts as p, ts + interval 5 hour as e, count(*) over () as n, ntile({_CV.n_groups}) over (order by ts) - 1 as f from b where series_id = 'view'),
+def _cv_sql(cv: validation.CombPurgedKFold = _CV) -> str:
+    rounds = ", ".join(f"({k}, {list(c)})" for k, c in enumerate(cv.rounds()))
+    return f"""with {BARS}, s as (select row_number() over (order by ts) - 1 as pos, ts as p, ts + interval 5 hour as e, count(*) over () as n, ntile({cv.n_groups}) over (order by ts) - 1 as f from b where series_id = 'view'),
 r(round, fs) as (values {rounds}),
 t as (select r.round, s.pos, s.p, s.e, s.n, list_contains(fs, s.f) as test from r, s),
 m as (select *, lag(test, 1, false) over (partition by round order by pos) as before, row_number() over (partition by round, test order by pos) as nth from t),
 starts as (select round, pos as a, p as first_pred, row_number() over (partition by round order by pos) as k from m where test and not before),
 ends as (select round, pos as z, row_number() over (partition by round order by pos) as k from (select *, lead(test, 1, false) over (partition by round order by pos) as next from t) where test and not next),
 blocks as (select round, a, z + 1 as z, first_pred from starts join ends using (round, k)),
-last as (select b.round, b.a, b.z, b.first_pred, max(m.e) + interval 3 hour as last from blocks b join m on m.round = b.round and m.test and m.nth <= b.z group by all),
+last as (select b.round, b.a, b.z, b.first_pred, max(m.e) + interval {cv.embargo_micros // 3_600_000_000} hour as last from blocks b join m on m.round = b.round and m.test and m.nth <= b.z group by all),
 cut as (select l.round, l.a, l.z, l.first_pred, count(*) as m from last l join s on s.p <= l.last group by all),
 ok as (select t.round, t.pos, bool_and((t.pos < c.a and t.e < c.first_pred) or (t.pos >= c.z and (c.m >= t.n or t.pos >= c.m))) as ok, any_value(t.test) as test from t join cut c using (round) group by t.round, t.pos)
 select round::int as round, pos::int as pos, case when test then 'test' else 'train' end as role from ok where test or ok"""
@@ -623,18 +623,25 @@ select round::int as round, pos::int as pos, case when test then 'test' else 'tr
 register("cv_split", lambda s, d: _CV.split(_cv_samples(s, d)).select(F.col("round").cast("int").alias("round"), F.col("pos").cast("int").alias("pos"), "role"), _cv_sql())
 
 
+_CV_PATHS = validation.CombPurgedKFold(4, 2)
+
+
 def _cv_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths_of(hourly(spark, sf_dir).where(F.col("series_id") == "view"))
 
 
 def _paths_of(b: DataFrame) -> DataFrame:
+    return _path_rows(b).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _path_rows(b: DataFrame) -> DataFrame:
     b = b.select(F.col("ts").alias("pred_time"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(5))).alias("eval_time"), "close")
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         mean = train.agg(F.avg("close").alias("prediction"))
         return lambda rows: rows.join(F.broadcast(mean)).select("pos", "close", "prediction")  # one row
 
-    return validation.cross_validation_paths(validation.CombPurgedKFold(4, 2), b, fit).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    return validation.cross_validation_paths(_CV_PATHS, b, fit)
 
 
 register("cv_paths", _cv_paths, f"with {BARS} select p::int as path, (select count(*) from b where series_id = 'view')::bigint as rows from range(3) t(p)")
@@ -653,6 +660,12 @@ register(
 )
 register("cv_paths_all_series", _cv_paths_all, ORACLES["cv_paths"].replace("from b where series_id = 'view'", "from b"))
 
+_PATH_MEANS = f"""{_cv_sql(_CV_PATHS).replace("from b where series_id = 'view'", "from b").replace("s as (select row_number()", "s as (select close, row_number()").rsplit("select round::int", 1)[0].rstrip()},
+mean as (select ok.round, avg(s.close) as prediction from ok join s using (pos) where not ok.test and ok.ok group by ok.round),
+dealt(round, fold, path) as (values {", ".join(map(str, validation.dealt_paths(_CV_PATHS)))})
+select path::int as path, s.pos::int as pos, fold::int as fold, {R("prediction")} as prediction from dealt join mean using (round) join s on s.f = dealt.fold"""
+register("cv_path_predictions", lambda s, d: _path_rows(hourly(s, d)).select("path", F.col("pos").cast("int").alias("pos"), "fold", r("prediction").alias("prediction")), _PATH_MEANS)
+
 # Ensemble
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES, TS = "series_id", "ts"
@@ -51,3 +51,15 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
         taken.add(base.lower())
         out.append(base)
     return out
+
+
+def must(df: DataFrame, fine: Column, message: str) -> DataFrame:
+    """The rows as they are; the job that reads them fails with ``message`` at a row that isn't ``fine``. No job of its own."""
+    return df.where(F.when(F.coalesce(fine, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def unique_keys(df: DataFrame, name: str) -> DataFrame:
+    """The rows as they are; the job fails at repeated (series_id, ts). The partitioning and order are those that operators on bars share."""
+    (twice,) = fresh(df, "__twice")
+    same = F.coalesce(F.lag(TS).over(Window.partitionBy(SERIES).orderBy(TS)) == F.col(TS), F.lit(False))
+    return must(df.withColumn(twice, same), ~F.col(twice), f"{name} has repeated keys").drop(twice)

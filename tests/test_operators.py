@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -386,3 +387,64 @@ def test_align_keeps_columns_of_its_own_names(spark):
     got = {(r.series_id, r.ts): (r["__key"], r["__row"]) for r in align.align_on(keys, rows, "max").collect()}
     assert got == {("a", 10): (3.0, 8), ("a", 20): (5.0, 9), ("b", 5): (None, None)}
     assert align.align_on(keys.limit(0), rows).count() == 0 and align.align_on(keys, rows.limit(0)).count() == 3
+
+
+def test_events_need_both_ends(spark):
+    bars = spark.createDataFrame([("a", datetime(2024, 1, d), 1.0) for d in (1, 2, 3)], "series_id string, ts timestamp_ntz, close double")
+    kind = "series_id string, start_ts timestamp_ntz, end_ts timestamp_ntz"
+    for start, end in ((1, None), (None, 2), (3, 1)):
+        day = lambda d: d and datetime(2024, 1, d)
+        events = spark.createDataFrame([("a", datetime(2024, 1, 1), datetime(2024, 1, 2)), ("a", day(start), day(end))], kind)
+        with pytest.raises(Exception, match="needs a start and an end"):
+            sampling.average_uniqueness(events, bars).collect()
+    none = spark.createDataFrame([], kind)
+    assert sampling.average_uniqueness(none, bars).count() == 0
+
+
+def test_trader_refuses_repeated_keys(spark):
+    day = lambda d: datetime(2024, 1, d)
+    kind = "series_id string, ts timestamp_ntz, close double"
+    rule = lambda df: df.withColumn("side_pred", F.lit(1)).withColumn("probability", F.array(F.lit(0.2), F.lit(0.8)))
+    trader = StrategyTrader(StrategySignalPipeline({"bars": lambda df: df}, rule))
+    fine = spark.createDataFrame([("a", day(1), 1.0), ("a", day(2), 1.0), ("b", day(1), 1.0)], kind)
+    assert trader.create_signal({"bars": fine}).count() == 3
+    with pytest.raises(Exception, match="repeated keys"):
+        trader.create_signal({"bars": fine.union(fine)}).collect()
+
+
+def test_frames_must_meet_and_metalabels_have_no_nulls(spark):
+    day = lambda d: datetime(2024, 1, d)
+    kind = "series_id string, ts timestamp_ntz, {} double"
+    lead = spark.createDataFrame([("a", day(d), 1.0) for d in range(10, 20)], kind.format("x"))
+    before = spark.createDataFrame([("a", day(2), 1.0)], kind.format("y"))
+    late = spark.createDataFrame([("a", day(d), 1.0) for d in range(15, 20)], kind.format("y"))
+    same = lambda df: df
+    rule = lambda df: df.withColumn("side_pred", F.when(F.dayofmonth("ts") != 17, 1.0))
+    pipe = StrategySignalPipeline({"x": same, "y": same}, rule, align_on="x")
+    with pytest.raises(ValueError, match="no time of y"):
+        pipe.predict({"x": lead, "y": before})
+    with pytest.warns(UserWarning, match="starts much"):
+        assert pipe.predict({"x": lead, "y": late})["primary"].count() == 5
+    meta = StrategySignalPipeline({"x": same}, rule, metalabel=lambda df: df.withColumn("meta_proba", F.lit(0.5)))
+    with pytest.raises(Exception, match="has a NULL"):
+        meta.predict({"x": lead})["metalabeling"].collect()
+
+
+def test_log_uniform_column(spark):
+    values = [r.v for r in spark.range(4000).select(validation.log_uniform_column(0.1, 100.0, 3).alias("v")).collect()]
+    assert min(values) >= 0.1 and max(values) <= 100
+    logs = np.log10(values)
+    assert abs(np.mean(logs) - 0.5) < 0.06 and abs((logs < -0.25).mean() - 0.25) < 0.04
+    with pytest.raises(ValueError):
+        validation.log_uniform_column(0.0, 1.0)
+
+
+def test_extremes_by_loop(spark):
+    x = [3.0, 5.0, 5.0, 1.0, 1.0, 4.0, 2.0]
+    df = spark.createDataFrame([("a", datetime(2024, 1, i + 1), v, 0) for i, v in enumerate(x)], "series_id string, ts timestamp_ntz, close double, __row int")
+    rows = ind.maxindex(ind.minindex(df, "close", 3), "close", 3).orderBy("ts").collect()
+    for i, r in enumerate(rows):
+        last = range(i - 2, i + 1) if i >= 2 else []
+        assert r.maxindex == (max(last, key=lambda j: (x[j], j)) if last else None)
+        assert r.minindex == (max(last, key=lambda j: (-x[j], j)) if last else None)
+        assert r["__row"] == 0
