@@ -3,8 +3,8 @@
 Tokens are lower-cased words and one end a document.  Counts cover all training documents (crc32 of doc_id mod 7 is not
 2); they give the base score and the chances of rare words.  The network models the ``CLASSES * SIZE - 1`` most
 frequent words and the end; any other word belongs to one of a few rare classes by its bytes (other than ASCII, with
-punctuation at its end, with symbols) and within it has chance (c + 1) / (N_r + V_r + 1).  So all texts have a
-proper probability, words never seen included.
+punctuation at its end, with symbols) and within it has chance (c + 1) / (N_r + V_r + 1); a word never seen gets
+what its class leaves over, 1 / (N_r + V_r + 1), so that is one chance for any such word and not one shared among them.
 
 The network learns from every training document.  It starts from ``epochs`` passes on the driver over a bounded sample,
 the ``max_docs`` training documents with the smallest seeded hash of doc_id, whole; then all training documents are dealt
@@ -126,7 +126,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         mid = (low + high) // 2
         reach = by_count.where(F.col("n") >= mid).agg(F.sum("words")).first()[0] or 0
         low, high = (low, mid) if reach <= TABLE else (mid + 1, high)
-    rows = counts.where(F.col("n") >= low).toArrow()
+    rows = counts.where((F.col("n") >= low) | (F.col("word") == END_HASH)).toArrow()  # the end is the network's, however rare
     h, k, n = (rows.column(c).to_numpy() for c in ("word", "kind", "n"))
     h = h.view(np.uint64)
     order = np.argsort(h)

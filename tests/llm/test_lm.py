@@ -102,3 +102,57 @@ def test_gradients():
         assert g[k][at] == pytest.approx(-(more - logp.sum()) / 1e-6, abs=1e-4)
     h[2, 1] += 1e-6
     assert dh[2, 1] == pytest.approx(-(net.log_probs(h, ids)[0].sum() - logp.sum()) / 1e-6, abs=1e-4)
+
+
+def plain_kind(word: str) -> int:
+    raw = word.encode()
+    return (max(raw) > 127) * 1 + (chr(raw[-1]) in ".,;:!?") * 2 + any(chr(b) in "#*$%&|<>!=_/\\@+0123456789" for b in raw) * 4
+
+
+def softmax_log(logits: np.ndarray, at: int) -> float:
+    top = logits.max()
+    return float(logits[at] - top - math.log(np.exp(logits - top).sum()))
+
+
+@pytest.mark.parametrize("table", [1 << 18, 40])
+def test_whole_score_by_loop(spark, monkeypatch, table):
+    """The score of each document, word by word: the network's part from its weights, the rare part from plain counts."""
+    made, fit = [], lm.fit
+    monkeypatch.setattr(lm, "TABLE", table)
+    monkeypatch.setattr(lm, "fit", lambda docs, vocab, *rest: made.append((vocab, fit(docs, vocab, *rest))) or made[-1][1])
+    rng, ends = np.random.default_rng(4), ["", "", ".", "7", "é", "é!", "_x,"]
+    texts = [(k, " ".join(f"v{'abcdefghij'[w % 10]}{'klmnopqrst'[w // 10 % 10]}{'uvwxyzabcd'[w // 100 % 10]}{'efgh'[w // 1000 % 4]}{ends[w % 7]}" for w in np.minimum(rng.pareto(0.3, 500) * 3, 1e9).astype(np.int64) % 9000)) for k in range(90)]
+    texts += [(90, None), (91, "never seen before by anyone.")]
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, texts), max_docs=20, epochs=1).collect()}
+    (vocab, net), = made
+    count = Counter(w for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2 for w in words(t))
+    ids = {}
+    for w in {w for _, t in texts for w in words(t)}:
+        at, there = vocab.find(lm.Words([w.encode()]).hashes)
+        if there[0] and vocab.ids[at[0]] > 0:
+            ids[w] = int(vocab.ids[at[0]])
+    inside = sorted(ids, key=ids.get)
+    assert 0 < len(ids) <= table and (table < lm.CLASSES * lm.SIZE or len(ids) == min(lm.CLASSES * lm.SIZE - 1, len(count)))
+    assert [count[w] for w in inside] == sorted((count[w] for w in inside), reverse=True)
+    mass, kinds_ = Counter(), Counter()
+    for w in count:
+        if w not in ids:
+            mass[plain_kind(w)] += count[w]
+            kinds_[plain_kind(w)] += 1
+    size, rare_seen = lm.SIZE, 0
+    for d, t in texts:
+        h, before, want = np.zeros((1, lm.HIDDEN), np.float32), 0, 0.0
+        for w in [*words(t), None]:
+            now = 0 if w is None else ids.get(w, lm.CLASSES * size + plain_kind(w))
+            h = net.step(net.p["x"][[before]] + net.p["b"], h)[0]
+            cls = now // size if now < lm.CLASSES * size else lm.CLASSES + plain_kind(w)
+            want += softmax_log((h @ net.p["c"] + net.p["cb"])[0].astype(np.float64), cls) / math.log(10)
+            if now < lm.CLASSES * size:
+                want += softmax_log((h @ net.p["w"][cls] + net.p["wb"][cls])[0].astype(np.float64), now % size) / math.log(10)
+            else:
+                k = plain_kind(w)
+                want += math.log10((count[w] + 1) / (mass[k] + kinds_[k] + 1))
+                rare_seen += 1
+            before = now
+        assert got[d].score == pytest.approx(want, rel=1e-4), d
+    assert rare_seen > 50 and len(count) > lm.CLASSES * lm.SIZE  # some words of the table are outside the network
