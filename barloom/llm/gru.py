@@ -76,7 +76,7 @@ class Gru:
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         order = order[: cuts[-1]]  # of the words that share a class with others
-        part, word, at = h[order], ids[order] % self.size, np.arange(len(order))
+        part, word, at = h.take(order, 0), ids[order] % self.size, np.arange(len(order))
         logits = np.empty((len(order), self.size), h.dtype)
         full = [c for c in range(self.classes) if cuts[c] < cuts[c + 1]]
         for c in full:
@@ -108,6 +108,7 @@ class Gru:
         rng, k, losses = np.random.default_rng(seed), self.hidden, []
         m, v, t = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2)), None, 0
         m, v = m
+        narrow = np.int16 if len(self.p["x"]) <= 1 << 15 else np.int64  # 16 bits are sorted in linear time
         total = sum(len(d) for d in docs)
         lanes = max(1, min(lanes, len(docs), total // window))
         steps = epochs * -(-total // (lanes * window)) or 1
@@ -129,16 +130,22 @@ class Gru:
                 active = lanes - int(np.searchsorted(sizes, a, "right"))  # lanes that have ended are left out
                 xs, ys, h = x[a : a + window, :active], y[a : a + window, :active], h[:active]
                 steps_in = len(xs)
-                names, place = np.unique(xs, return_inverse=True)  # only these words' rows of the input table change
+                order = np.argsort(xs.ravel().astype(narrow), kind="stable")
+                sorted_x = xs.ravel()[order]
+                new = np.diff(sorted_x, prepend=-1) != 0
+                first = np.flatnonzero(new)
+                names = sorted_x[first]  # only these words' rows of the input table change
+                place = np.empty(xs.size, np.int64)
+                place[order] = np.cumsum(new) - 1
                 place = place.reshape(xs.shape)
-                table = self.p["x"][names] + self.p["b"]
+                table = self.p["x"].take(names, 0) + self.p["b"]
                 g = {n: np.zeros_like(w) for n, w in self.p.items() if n != "x"}
                 live_in = (xs != end).astype(np.float32)[:, :, None]
                 states, before = (np.empty((steps_in, active, k), np.float32) for _ in range(2))
                 z, r, n, q = (np.empty((steps_in, active, k), np.float32) for _ in range(4))
                 for i in range(steps_in):
                     np.multiply(h, live_in[i], out=before[i])
-                    states[i], z[i], r[i], n[i], q[i] = self.step(table[place[i]], before[i])
+                    states[i], z[i], r[i], n[i], q[i] = self.step(table.take(place[i], 0), before[i])
                     h = states[i]
                 live = ys >= 0
                 ids = ys[live]
@@ -146,30 +153,46 @@ class Gru:
                 loss, seen = loss - float(logp.sum()), seen + len(ids)
                 slope = np.zeros_like(states)
                 slope[live] = dh_live
-                # what of a step's slope reaches its gates, for all steps at once
-                to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), q * r * (1 - r)
-                gates, inner = (np.empty((steps_in, active, 3 * k), np.float32) for _ in range(2))
-                back, turned = np.zeros((active, k), np.float32), np.ascontiguousarray(self.p["u"].T)
+                # what of a step's slope reaches its gates, and the state's part of them, for all steps at once
+                to_n = (1 - z) * (1 - n * n)
+                reach, inner, ds = np.empty((steps_in, active, 3, k), np.float32), np.empty((steps_in, active, 3, k), np.float32), np.empty_like(slope)
+                reach[:, :, 0], reach[:, :, 1], reach[:, :, 2] = (before - n) * z * (1 - z), to_n * q * r * (1 - r), to_n * r
+                back, turned, keep = np.zeros((active, k), np.float32), np.ascontiguousarray(self.p["u"].T), z * live_in
                 for i in range(steps_in - 1, -1, -1):
-                    d = slope[i] + back
-                    dn = d * to_n[i]
-                    gates[i, :, :k], gates[i, :, k : 2 * k], gates[i, :, 2 * k :] = d * to_z[i], dn * to_r[i], dn
-                    inner[i, :, : 2 * k], inner[i, :, 2 * k :] = gates[i, :, : 2 * k], dn * r[i]
-                    back = (d * z[i] + inner[i] @ turned) * live_in[i]
+                    d = np.add(slope[i], back, out=ds[i])
+                    np.multiply(d[:, None, :], reach[i], out=inner[i])
+                    back = inner[i].reshape(active, 3 * k) @ turned
+                    back *= live_in[i]
+                    back += d * keep[i]
                 g["u"] = before.reshape(-1, k).T @ inner.reshape(-1, 3 * k)
-                flat = gates.reshape(-1, 3 * k)
-                order = np.argsort(place.ravel(), kind="stable")
-                first = np.searchsorted(place.ravel()[order], np.arange(len(names)))
-                rows = np.add.reduceat(flat[order], first)
+                inner[:, :, 2] = ds * to_n  # the input's part isn't scaled by the reset gate
+                flat = inner.reshape(-1, 3 * k)
+                rows = np.add.reduceat(flat.take(order, 0), first)
                 g["b"] = flat.sum(0)
                 t += 1
                 pace, scale = rate * max(0.1, 1 - t / (steps + 1)), active / max(1, len(ids))
                 for name, w in self.p.items():
-                    at = names if name == "x" else slice(None)
-                    s = np.clip((rows if name == "x" else g[name]) * np.float32(scale), -5, 5)
-                    m[name][at] += np.float32(0.1) * (s - m[name][at])
-                    v[name][at] += np.float32(0.01) * (s * s - v[name][at])
-                    w[at] -= np.float32(pace / (1 - 0.9**t)) * m[name][at] / (np.sqrt(v[name][at] * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
+                    some = name == "x"
+                    s, mean, square = (rows, m[name].take(names, 0), v[name].take(names, 0)) if some else (g[name], m[name], v[name])
+                    s *= np.float32(scale)
+                    np.clip(s, -5, 5, out=s)
+                    d = s - mean
+                    d *= np.float32(0.1)
+                    mean += d
+                    np.multiply(s, s, out=s)
+                    s -= square
+                    s *= np.float32(0.01)
+                    square += s
+                    np.multiply(square, np.float32(1 / (1 - 0.99**t)), out=s)
+                    np.sqrt(s, out=s)
+                    s += np.float32(1e-6)
+                    np.divide(mean, s, out=s)
+                    s *= np.float32(pace / (1 - 0.9**t))
+                    if some:
+                        m[name][names], v[name][names] = mean, square
+                        w[names] -= s
+                    else:
+                        w -= s
             losses.append(loss / max(1, seen))
         return losses
 
@@ -190,7 +213,7 @@ class Gru:
             states, ids, lanes = [], [], []
             for t in range(a, min(a + window, int(lengths[0]))):
                 n = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
-                h = self.step(gates[before[:n]], h[:n])[0]
+                h = self.step(gates.take(before[:n], 0), h[:n])[0]
                 before = flat[begin[:n] + t]
                 states.append(h)
                 ids.append(before)
