@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+BLOCK = 1 << 13
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -196,8 +198,8 @@ class Gru:
             losses.append(loss / max(1, seen))
         return losses
 
-    def score(self, docs: list[np.ndarray], end: int, window: int = 16) -> np.ndarray:
-        """Natural log probability of each whole document; the state is carried from window to window."""
+    def score(self, docs: list[np.ndarray], end: int, window: int | None = None) -> np.ndarray:
+        """Natural log probability of each whole document; the state is carried from window to window, of ``BLOCK`` tokens by default."""
         out = np.zeros(len(docs))
         order = np.argsort([-len(d) for d in docs], kind="stable")
         lengths = np.array([len(docs[i]) for i in order], np.int64)
@@ -209,10 +211,12 @@ class Gru:
         h = np.zeros((int((lengths > 0).sum()), self.hidden), np.float32)
         sums = np.zeros(len(h))
         before = np.full(len(h), end, np.int64)
-        for a in range(0, int(lengths[0]), window):
+        longest, falling, b = int(lengths[0]), -lengths, 0
+        while b < longest:
             states, ids, lanes = [], [], []
-            for t in range(a, min(a + window, int(lengths[0]))):
-                n = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
+            a, b = b, min(longest, b + (window or -(-BLOCK // len(h))))
+            for t in range(a, b):
+                n = int(np.searchsorted(falling, -t, "left"))  # documents longer than t
                 h = self.step(gates.take(before[:n], 0), h[:n])[0]
                 before = flat[begin[:n] + t]
                 states.append(h)

@@ -10,7 +10,8 @@ The network learns from every training document.  It starts from ``epochs`` pass
 the ``max_docs`` training documents with the smallest seeded hash of doc_id, whole; then all training documents are dealt
 by their hash to shares of about ``SHARE`` tokens, each share trains its own copy in one task, and the copies are averaged
 by their tokens.  So the tasks grow with the corpus, and the memory of a task doesn't.  Counts, vocabulary and output
-biases come from all training documents.  Scoring carries the state through each whole document.
+biases come from all training documents.  Scoring carries the state through each whole document.  Texts are turned into
+ids once, in a stored table that both training and scoring read.
 
 Counts of frequent words (at most ``TABLE`` of them, by a count threshold) are sent to all tasks; other words are looked
 up by a join on their hash, so the vocabulary may grow without bound.  Words are told apart by 64-bit hashes.
@@ -145,16 +146,44 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(h, n.astype(np.float64), k, ids, tokens, distinct, rare_t, rare_v), low
 
 
+CODED = "uid long, turn long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, rare array<long>, times array<int>, ids binary"
+
+
 def _coded(words):
-    """(turn, ids): a document's network ids and its end as 16-bit numbers."""
+    """Each document's network ids and its end as 16-bit numbers, and what the table of counts gives to its scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = words.value
+        row, part = 0, TaskContext.get().partitionId()
+        chance = np.log10(1 / (vocab.rare_tokens + vocab.rare_distinct + 1))
+        at_end, ended = vocab.find(np.array([END_HASH], np.uint64))
+        end_count = float(vocab.counts[at_end[0]]) if ended[0] else 0.0
+        end_base = float(vocab.base(np.array([end_count]))[0])
         for batch in batches:
-            for first, texts in groups(batch.column(1)):
+            for first, texts in groups(batch.column(3)):
                 w = Words(texts)
-                ids = words.value.network_ids(w)[0].astype(np.int16)
-                rows = [np.append(ids[a : a + n], np.int16(0)).tobytes() for a, n in zip(w.begin[:-1], w.counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(rows, pa.binary())], names=["turn", "ids"])
+                ids, at, seen = vocab.network_ids(w)
+                n = np.where(seen, vocab.counts[at], 0.0) if len(vocab.names) else np.zeros(len(at))
+                b = np.where(seen, vocab.base(n), 0.0)
+                outside = ids >= CLASSES * SIZE
+                kind = np.where(outside, ids - CLASSES * SIZE, 0)
+                s = np.where(outside, np.where(seen, np.log10(n + 1), 0.0) + chance[kind], 0.0)  # others' counts come by the join
+                sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (b, s, seen)]
+                base, inner, known = (x[w.begin[1:]] - x[w.begin[:-1]] for x in sums)
+                short = ids.astype(np.int16)
+                rows, rare, times = [], [], []
+                for a, count in zip(w.begin[:-1], w.counts, strict=True):
+                    rows.append(np.append(short[a : a + count], np.int16(0)).tobytes())
+                    names, reps = np.unique(w.hashes[a : a + count][~seen[a : a + count]], return_counts=True)
+                    rare.append(names.view(np.int64))
+                    times.append(reps.astype(np.int32))
+                uid = (part << 33) + row + np.arange(len(rows))
+                row += len(rows)
+                cols = [
+                    pa.array(uid, pa.int64()), *(batch.column(c).slice(first, len(rows)) for c in range(3)), pa.array(w.counts + 1, pa.int64()), pa.array(np.rint(known).astype(np.int64) + (end_count > 0), pa.int64()),
+                    pa.array(base + end_base, pa.float64()), pa.array(inner, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), pa.array(rows, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CODED.split(", ")])
 
     return run
 
@@ -194,11 +223,11 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "weights"])
 
 
-def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: str) -> Gru:
-    """The network: started on a bounded sample of whole documents on the driver, then trained on all documents in tasks."""
-    spark = docs.sparkSession
-    turn = F.xxhash64(F.lit(seed), "doc_id")
-    last = docs.select(turn.alias("turn")).orderBy("turn").limit(max_docs).agg(F.max("turn")).first()[0]
+def fit(coded: DataFrame, words: Vocabulary, max_docs: int, epochs: int) -> Gru:
+    """The network of the coded training documents: started on a bounded sample of whole ones on the driver, then trained on all in tasks."""
+    spark = coded.sparkSession
+    coded = coded.select("turn", "ids")
+    last = coded.select("turn").orderBy("turn").limit(max_docs).agg(F.max("turn")).first()[0]
     net = Gru(CLASSES, SIZE, RARE, HIDDEN)
     counts = np.zeros(CLASSES * SIZE + RARE)
     np.add.at(counts, words.ids[words.ids >= 0], words.counts[words.ids >= 0])
@@ -206,13 +235,11 @@ def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: st
     net.start_from(counts)
     if last is None:
         return net
-    sent = spark.sparkContext.broadcast(words)
-    coded = lambda rows: rows.select(turn.alias("turn"), "text").mapInArrow(_coded(sent), "turn long, ids binary")
-    rows = [(r["turn"], bytes(r["ids"])) for r in coded(docs.where(turn <= last)).collect()]
+    rows = [(r["turn"], bytes(r["ids"])) for r in coded.where(F.col("turn") <= last).collect()]
     rows.sort()
     net.train([np.frombuffer(ids, np.int16) for _, ids in rows[:max_docs]], 0, epochs)
     shares = -(-words.tokens // SHARE)
-    dealt = coded(docs).repartition(shares, "turn", "ids").sortWithinPartitions("turn", "ids")
+    dealt = coded.repartition(shares, "turn", "ids").sortWithinPartitions("turn", "ids")
     learned = dealt.mapInArrow(_learn(spark.sparkContext.broadcast(net)), "piece int, turn long, tokens long, weights binary")
     means = learned.repartition(PIECES, "piece").sortWithinPartitions("piece", "turn").mapInArrow(_mean, "piece int, weights binary").collect()
     net = copy.deepcopy(net)
@@ -220,44 +247,14 @@ def fit(docs: DataFrame, words: Vocabulary, max_docs: int, epochs: int, seed: st
     return net
 
 
-def _score(words, net):
+def _score(net):
+    """The coded rows with the network's log10 probability in place of the ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = words.value, net.value
-        row, part = 0, TaskContext.get().partitionId()
-        chance = np.log10(1 / (vocab.rare_tokens + vocab.rare_distinct + 1))
-        at_end, ended = vocab.find(np.array([END_HASH], np.uint64))
-        end_count = float(vocab.counts[at_end[0]]) if ended[0] else 0.0
         for batch in batches:
-            coded: list[np.ndarray] = []
-            sizes, known, base, inner, rare, times, sorts = [], [], [], [], [], [], []
-            for _, texts in groups(batch.column(2)):
-                w = Words(texts)
-                ids, at, seen = vocab.network_ids(w)
-                n = np.where(seen, vocab.counts[at], 0.0) if len(vocab.names) else np.zeros(len(at))
-                b = np.where(seen, vocab.base(n), 0.0)
-                outside = ids >= CLASSES * SIZE
-                kind = np.where(outside, ids - CLASSES * SIZE, 0)
-                s = np.where(outside, np.where(seen, np.log10(n + 1), 0.0) + chance[kind], 0.0)  # others' counts come by the join
-                sums = [np.concatenate(([0.0], np.cumsum(x))) for x in (b, s, seen)]
-                totals = [x[w.begin[1:]] - x[w.begin[:-1]] for x in sums]
-                for j, (a, count) in enumerate(zip(w.begin[:-1], w.counts, strict=True)):
-                    coded.append(np.append(ids[a : a + count], 0))
-                    other = np.sort(w.hashes[a : a + count][~seen[a : a + count]])
-                    names, reps = np.unique(other, return_counts=True)
-                    rare.append(names.view(np.int64))
-                    times.append(reps.astype(np.int32))
-                    sizes.append(count + 1)
-                    known.append(int(round(totals[2][j])) + (end_count > 0))
-                    base.append(totals[0][j] + float(vocab.base(np.array([end_count]))[0]))
-                    inner.append(totals[1][j])
-            scores = model.score(coded, 0) / np.log(10) + np.array(inner)
-            uid = (part << 33) + row + np.arange(len(coded))
-            row += len(coded)
-            cols = [
-                pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "net", "rare", "times"])
+            *rest, ids = batch.columns
+            docs = [np.frombuffer(x.as_py(), np.int16) for x in ids]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(net.value.score(docs, 0) / np.log(10), pa.float64())], names=[*batch.schema.names[:-1], "net"])
 
     return run
 
@@ -270,20 +267,22 @@ def score(docs: DataFrame, max_docs: int = MAX_DOCS, epochs: int = EPOCHS, seed:
     counts = training.select("text").mapInArrow(_count, "word long, kind long, n long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = stash(counts, "lm-counts")
     words, least = vocabulary(counts)
-    net = fit(training, words, max_docs, epochs, seed)
-    sent = [spark.sparkContext.broadcast(x) for x in (words, net)]  # TABLE words at most; a network of fixed size
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, net double, rare array<long>, times array<int>"
-    judged = stash(source.select("doc_id", "held_out", "text").mapInArrow(_score(*sent), schema), "lm-scores")
+    turn = F.xxhash64(F.lit(seed), "doc_id")
+    sent = spark.sparkContext.broadcast(words)  # TABLE words at most
+    coded = stash(source.select(turn.alias("turn"), "doc_id", "held_out", "text").mapInArrow(_coded(sent), CODED), "lm-coded")
+    net = spark.sparkContext.broadcast(fit(coded.where("not held_out"), words, max_docs, epochs))  # of fixed size
+    kept = coded.drop("turn", "rare", "times")
+    judged = stash(kept.mapInArrow(_score(net), kept.drop("ids").withColumn("net", F.lit(0.0)).schema), "lm-scores")
     scale = float(words.tokens + words.distinct + 1)
-    each = judged.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("r"), F.col("x.times").cast("double").alias("k"))
+    each = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("r"), F.col("x.times").cast("double").alias("k"))
     seldom = counts.where(F.col("n") < least).select("word", F.col("n").cast("double").alias("c"))
     met = each.join(seldom, F.col("r") == F.col("word"), "left")
     c = F.coalesce("c", F.lit(0.0))
     more = met.groupBy("uid").agg(
         F.sum(F.col("k") * F.log10((c + 1) / F.lit(scale))).alias("b"), F.sum(F.col("k") * F.log10(c + 1)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0.0)).cast("long").alias("m")
     ).withColumnRenamed("uid", "u")
-    full = judged.drop("rare", "times").join(more, F.col("uid") == F.col("u"), "left")
+    full = judged.join(more, F.col("uid") == F.col("u"), "left")
     return full.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("m", F.lit(0))).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("net") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("net") + F.col("inner") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
