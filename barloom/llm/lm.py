@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.gru import Gru
@@ -120,13 +120,10 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     by_count = stash(by_count, "lm-by-count")
     total = by_count.agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = int(total[0] or 0), int(total[1] or 0)
-    # the least count such that no more than TABLE words reach it, by halving
+    # the least count such that no more than TABLE words reach it; different counts are few (their sum is at most the tokens)
     most = int(by_count.agg(F.max("n")).first()[0] or 0)
-    low, high = 1, most + 1
-    while low < high:
-        mid = (low + high) // 2
-        reach = by_count.where(F.col("n") >= mid).agg(F.sum("words")).first()[0] or 0
-        low, high = (low, mid) if reach <= TABLE else (mid + 1, high)
+    reach = by_count.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("reach"))
+    low = reach.where(F.col("reach") <= TABLE).agg(F.min("n")).first()[0] or most + 1
     rows = counts.where((F.col("n") >= low) | (F.col("word") == END_HASH)).toArrow()  # the end is the network's, however rare
     h, k, n = (rows.column(c).to_numpy() for c in ("word", "kind", "n"))
     h = h.view(np.uint64)
