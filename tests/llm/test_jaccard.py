@@ -107,6 +107,38 @@ def test_groups_open_the_same_pairs(monkeypatch):
             assert got == want and (got or side.any())
 
 
+def test_open_pairs_of_a_large_group_grow_with_its_size():
+    """A row of copies that are all open with each other makes some pairs for each copy, the nearest, not all pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    for size in (100, 200, 400):
+        sets = [np.concatenate((base[: 298 - k % 3], rng.integers(0, 1 << 63, 2 + k % 3).astype(np.uint64))) for k in range(size)]
+        for side in (np.zeros(size, int), np.repeat([0, 2], size)):  # as one block, and as a block with itself
+            rows = [(5, 0, 0, int(s), j % size, j % size, 300, jaccard.parity(sets[j % size])) for j, s in enumerate(side)]
+            cols = [pa.array(c, pa.binary() if j == 7 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))]
+            batch = pa.RecordBatch.from_arrays(cols, names=["token", "a", "b", "side", "key", "comp", "n", "bits"])
+            got = [tuple(r.values()) for b in jaccard._open_groups(90, 100)(iter([batch])) for r in b.to_pylist()]
+            assert size - 1 <= len(got) <= 8 * size
+            assert len({r[:2] for r in got}) == len(got) and all(r[0] < r[1] for r in got)
+            assert {r[0] for r in got if r[2] == 5} == set(range(size - 8)) and {r[2] for r in got if r[0] > size - 9} == {None}
+
+
+@pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
+def test_rounds_of_nearest_lose_no_link(spark, monkeypatch, k, num):
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    monkeypatch.setattr(jaccard, "MANY", 8)
+    labels, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda *a: labels.append(a[-1]) or verify(*a))
+    rng = random.Random(17)
+    base = [f"v{x}" for x in range(150)]
+    rows = [(j, edited(base, 0.02, rng)) for j in range(120)]
+    rows += [(1000 + j, " ".join(base + [f"z{j}_{x}" for x in range(45)])) for j in range(6)]  # hubs that no copy is similar to
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs_of(spark, rows), k, num, 100).collect()}
+    assert got == brute(rows, k, num, 100)
+    assert "links-5" in labels
+
+
 def test_shared_passages(spark, monkeypatch):
     """Documents around one passage: rich ones by their own words, poor ones that are mostly passage, copies of both."""
     rng = random.Random(11)
