@@ -14,9 +14,9 @@ and only pairs with a poor class are looked at there.
    their intersection, folded into parity bits; a query opens only groups that it doesn't differ from by more than the
    threshold allows, and in them only members whose own bits leave it open.  Long rows are dealt out as pairs of blocks of
    ``BLOCK`` members.  In a first round a class meets others in the longest of its rows only, since large groups of copies share
-   most of their tokens; in the next ones in all rows.  Each time it opens the ``NEAREST`` of a block by these bits, and those
-   sets are compared and joined; then rows in which a class has opened as many as it may are gone through again, with eight
-   times as many for each class.
+   most of their tokens; there it opens the ``NEAREST`` of a block by these bits, and those sets are compared and joined.  In
+   the next rounds it meets them in all rows, then in those where a class has opened as many as it may, and opens eight times
+   as many each time.
 
 Nothing is capped: the last round has no class that opened as many as it might, so every pair that reaches the threshold
 is compared or already joined through others.  Equality of
@@ -447,7 +447,8 @@ def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame
             cut = opened.where("cut is not null").select(F.col("cut").alias("t")).distinct()
             if cut.isEmpty():
                 break
-            again, most = again.join(cut, F.col("token") == F.col("t"), "left_semi"), 8 * most
+            again = again.join(cut, F.col("token") == F.col("t"), "left_semi")
+        most *= 8
         after = stash(_apart(again, roots), "split", let_go=True)
         drop(split)
         split = after
