@@ -12,11 +12,12 @@ and only pairs with a poor class are looked at there.
 2. What stands apart from the hub of a token is compared with it, once for each pair.
 3. What still stands apart in a token's row is bounded against groups: a group keeps the union of its members' sets, and
    their intersection, folded into parity bits; a query opens only groups that it doesn't differ from by more than the
-   threshold allows, and in them only members whose own bits leave it open.  Long rows are dealt out as pairs of blocks of
-   ``BLOCK`` members.  In a first round a class meets others in the longest of its rows only, since large groups of copies share
-   most of their tokens; there it opens the ``NEAREST`` of a block by these bits, and those sets are compared and joined.  In
-   the next rounds it meets them in all rows, then in those where a class has opened as many as it may, and opens eight times
-   as many each time.
+   threshold allows, and in them only members whose own bits leave it open.  The frequent tokens of one hub are one row, so that
+   copies, which share most of their tokens, meet once.  Long rows are dealt out as pairs of blocks of ``BLOCK`` members: the
+   poor ones, or those outside the row's largest component if these are fewer, against all.  In a first round a class meets
+   others in the longest of its rows only, and in ``BAND`` blocks of it; there it opens the ``NEAREST`` of a block by these bits,
+   and those sets are compared and joined.  In the next rounds it meets them in all rows, then in those where a class has opened
+   as many as it may, in all blocks, and opens eight times as many each time.
 
 Nothing is capped: the last round has no class that opened as many as it might, so every pair that reaches the threshold
 is compared or already joined through others.  Equality of
@@ -46,6 +47,7 @@ MANY, ROOM = 32, 10  # classes of an ordinary token; a set's share (one in ROOM)
 SAMPLE, HOT, SALTS = 64, 4096, 64  # tokens of more than a HOT-th of one in SAMPLE classes are dealt to SALTS tasks
 BROADCAST_ROWS = 500_000  # rows of two or three numbers that are sent to all tasks; more are joined by a shuffle
 NEAREST = 8  # open pairs of a class in a block, in the first round
+BAND = 4  # blocks of a row that a class meets in the first round
 MEMBERS = 512  # sets that are compared with one other in a task
 
 
@@ -371,20 +373,42 @@ def _longest(rows: DataFrame) -> DataFrame:
     return rows.join(best, (F.col("key") == F.col("b_key")) & (F.col("token") == F.col("b_token")), "left_semi")
 
 
-def _blocks(left: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Rows of tokens as pairs of blocks, sorted: one block for an ordinary token, poor classes against all for a heavy one."""
+def _merged(rows: DataFrame) -> DataFrame:
+    """The heavy tokens of one hub as one row of all their classes, where that makes no more pairs; the others as they are."""
+    heavy, pairs = rows.where("heavy"), F.count(F.lit(1)) * F.count_if("poor")
+    apiece = heavy.groupBy("hub", "token").agg(pairs.alias("pairs")).groupBy("hub").agg(F.sum("pairs").alias("pairs"), F.min("token").alias("one"))
+    whole = heavy.select("hub", "key", "poor").distinct().groupBy(F.col("hub").alias("w_hub")).agg(pairs.alias("w_pairs"))
+    fewer = apiece.join(whole, F.col("hub") == F.col("w_hub")).where("w_pairs <= pairs").select("w_hub", "one")
+    named = rows.join(fewer, F.col("heavy") & (F.col("hub") == F.col("w_hub")), "left").withColumn("token", F.coalesce("one", "token"))
+    return named.select("token", "key", "heavy", "poor", "hub", "comp").distinct()
+
+
+def _blocks(left: DataFrame, classes: DataFrame, parts: int, band: int | None = None) -> DataFrame:
+    """Rows of tokens as pairs of blocks, sorted: one block for an ordinary token, a few classes against all for a heavy one.
+
+    The few are the poor ones, or those outside the row's largest component: every pair that counts has one of either.  Each block
+    of them meets ``band`` blocks, so that a row is dealt in proportion to its size, or all.
+    """
     shape = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(7), "key").bitwiseAND(F.lit((1 << 40) - 1))).alias("s")]
-    same = left.groupBy("token").agg(*shape, F.max("heavy").alias("h"), F.count_if("poor").alias("poor_size"))
-    once = same.groupBy("c", "x", "s", "h").agg(F.min(F.struct("token", "poor_size")).alias("o")).select(F.col("o.token").alias("t"), F.col("c").alias("row_size"), F.col("o.poor_size").alias("poor_size"))
-    once = once.where("not h or poor_size > 0")
-    rows = stash(left.join(once, F.col("token") == F.col("t")).drop("t"), "apart")
-    l_blocks, r_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("poor_size", "row_size"))
+    same = left.groupBy("token", "comp").agg(*shape, F.max("heavy").alias("h"), F.count_if("poor").alias("poor_size"))
+    largest = F.max(F.struct("c", "comp")).alias("largest")
+    same = same.groupBy("token").agg(largest, F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"), F.max("h").alias("h"), F.sum("poor_size").alias("poor_size"))
+    once = same.groupBy("c", "x", "s", "h").agg(F.min(F.struct("token", "poor_size", "largest")).alias("o")).select(F.col("o.token").alias("t"), "h", F.col("c").alias("row_size"), "o.poor_size", "o.largest")
+    outside = F.col("row_size") - F.col("largest.c")
+    once = once.select("t", "h", "row_size", F.least("poor_size", outside).alias("few_size"), F.when(outside < F.col("poor_size"), F.col("largest.comp")).alias("most_comp"))
+    once = once.where("not h or few_size > 0").drop("h")
+    few = F.when(F.col("most_comp").isNull(), F.col("poor")).otherwise(F.col("comp") != F.col("most_comp"))
+    rows = stash(left.join(once, F.col("token") == F.col("t")).withColumn("few", few).drop("t", "most_comp"), "apart")
+    l_blocks, r_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few_size", "row_size"))
     own_l, own_r = F.pmod(F.xxhash64(F.lit(11), "key"), l_blocks).cast("int"), F.pmod(F.xxhash64(F.lit(13), "key"), r_blocks).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    wide = F.least(r_blocks, F.lit(band)) if band else r_blocks
+    first = lambda a: F.floor(a * r_blocks / l_blocks).cast("int")
+    met = F.transform(F.sequence(F.lit(0), wide - 1), lambda j: F.pmod(first(own_l) + j, r_blocks))
+    meeting = F.filter(F.sequence(F.lit(0), l_blocks - 1), lambda a: F.pmod(own_r - first(a), r_blocks) < wide)
     zero = F.lit(0)
     dealt = rows.where("not heavy").select("token", zero.alias("a"), zero.alias("b"), zero.alias("side"), "key", "comp")
-    dealt = dealt.union(rows.where("heavy and poor").select("token", own_l.alias("a"), each(r_blocks).alias("b"), zero.alias("side"), "key", "comp"))
-    dealt = dealt.union(rows.where("heavy").select("token", each(l_blocks).alias("a"), own_r.alias("b"), F.when(F.col("poor"), 2).otherwise(1).alias("side"), "key", "comp"))
+    dealt = dealt.union(rows.where("heavy and few").select("token", own_l.alias("a"), F.explode(met).alias("b"), zero.alias("side"), "key", "comp"))
+    dealt = dealt.union(rows.where("heavy").select("token", F.explode(meeting).alias("a"), own_r.alias("b"), F.when(F.col("few"), 2).otherwise(1).alias("side"), "key", "comp"))
     filled = dealt.join(classes.select(F.col("key").alias("s_key"), "n", "bits"), F.col("key") == F.col("s_key"))
     filled = filled.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b")
     out = filled.select("token", "a", "b", "side", "key", "comp", "n", "bits")
@@ -425,12 +449,12 @@ def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame
 
     # members other than the hub that still stand apart, against groups; rows with the same members once
     names = ("token", "key", "heavy", "poor", "hub")
-    split = stash(_apart(left.where("key <> hub").select(*names), roots), "split", let_go=True)
+    split = stash(_merged(_apart(left.where("key <> hub").select(*names), roots)), "split", let_go=True)
     drop(kept, tried, left)
     most, rounds = NEAREST, []
     while True:
         # the first round takes a row of each class in heavy tokens; others are short
-        blocks = _blocks(split if rounds else _longest(split.where("heavy")), classes, parts)
+        blocks = _blocks(split, classes, parts) if rounds else _blocks(_longest(split.where("heavy")), classes, parts, BAND)
         opened = stash(blocks.mapInArrow(_open_groups(num, den, most), "u long, v long, cut long"), "opened", let_go=True)
         drop(blocks)
         new = opened.select("u", "v").distinct()

@@ -123,6 +123,39 @@ def test_open_pairs_of_a_large_group_grow_with_its_size():
             assert {r[0] for r in got if r[2] == 5} == set(range(size - 8)) and {r[2] for r in got if r[0] > size - 9} == {None}
 
 
+def test_copies_are_dealt_to_blocks_once(spark, monkeypatch):
+    """Copies share many tokens, each with nearly the same classes: their rows are one, and in a band they grow as the group."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(19)
+    for size in (64, 256):
+        rows = [(t, j, True, True, 999, j) for t in range(40) for j in range(size) if rng.random() < 0.95]
+        rows += [(100 + t, t * size + j, True, j < 3, 1000, t * size + j) for t in range(6) for j in range(size)]  # rows that have no class in common
+        rows = spark.createDataFrame(rows, "token long, key long, heavy boolean, poor boolean, hub long, comp long")
+        classes = spark.createDataFrame([(j, 1, b"") for j in range(6 * size)], "key long, n long, bits binary")
+        one = jaccard._merged(rows)
+        assert {r.token: r["count"] for r in one.groupBy("token").count().collect()} == {0: size} | {100 + t: size for t in range(6)}
+        assert jaccard._blocks(rows.where("hub = 999"), classes, 2).count() > 100 * size  # each token's row on its own
+        assert jaccard._blocks(one.where("hub = 999"), classes, 2, 2).count() <= 5 * size
+
+
+def test_pairs_of_blocks_hold_every_pair(spark, monkeypatch):
+    """Each pair of different components with a poor class meets; in a band the rows of a class stay as many."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(23)
+    for size, poor, comps in ((150, 40, 150), (150, 150, 3), (90, 60, 40)):
+        rows = [(5, j, True, j < poor, 999, 0 if rng.random() < 0.6 and comps < size else rng.randrange(comps)) for j in range(size)]
+        left = spark.createDataFrame(rows, "token long, key long, heavy boolean, poor boolean, hub long, comp long")
+        classes = spark.createDataFrame([(j, 1, b"") for j in range(size)], "key long, n long, bits binary")
+        met, of = set(), {r[1]: r for r in rows}
+        places = {}
+        for r in jaccard._blocks(left, classes, 2).collect():
+            places.setdefault((r.token, r.a, r.b), []).append((r.key, r.side))
+        for members in places.values():
+            met |= {tuple(sorted((x, y))) for x, s in members if s == 0 for y, t in members if t > 0 and (t == 1 or y > x)}
+        assert met >= {(x, y) for y in range(size) for x in range(min(y, poor)) if of[x][5] != of[y][5]}
+        assert jaccard._blocks(left, classes, 2, 2).count() <= 6 * size
+
+
 @pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
 def test_rounds_of_nearest_lose_no_link(spark, monkeypatch, k, num):
     monkeypatch.setattr(jaccard, "NEAREST", 1)
