@@ -31,6 +31,7 @@ gives an empty result; extra columns are ignored; a long text needs about 40 byt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _U = np.uint64
 BLOCK, BITS, CELLS = 1024, 2048, 1 << 15  # CELLS: pairs that are bounded in one operation
 MANY, ROOM = 32, 10  # classes of an ordinary token; a set's share (one in ROOM) that may replace others
 SAMPLE, HOT, SALTS = 64, 4096, 64  # tokens of more than a HOT-th of one in SAMPLE classes are dealt to SALTS tasks
+PASSES = 2  # shares of the tokens that are shuffled one after the other
 BROADCAST_ROWS = 500_000  # rows of two or three numbers that are sent to all tasks; more are joined by a shuffle
 NEAREST = 8  # open pairs of a class in a block, in the first round
 BAND = 4  # blocks of a row that a class meets in the first round
@@ -326,8 +328,11 @@ def _open_groups(num: int, den: int, most: int = NEAREST):
     return run
 
 
-def _matrix(base: DataFrame, parts: int) -> DataFrame:
-    """Rows (token, key, place, c) of tokens of two classes or more; place: rank from the last of the first tokens, and room."""
+def _matrix(base: DataFrame, parts: int) -> list[DataFrame]:
+    """Rows (token, key, place, c) of tokens of two classes or more; place: rank from the last of the first tokens, and room.
+
+    A table for each of ``PASSES`` shares of the tokens, one after the other, since the rows of all tokens are the most that is shuffled at once.
+    """
     place = F.shiftleft((F.col("pos") - F.col("p")).cast("long"), 32) + (F.col("t") - F.col("p"))
     rows = base.where("tokens is not null").select("key", "p", F.size("tokens").alias("t"), F.posexplode("tokens").alias("pos", "token")).select("token", "key", place.alias("place"))
     # one in SAMPLE classes tells which tokens are so frequent that their rows are dealt to several tasks: at most HOT times a class's tokens
@@ -337,8 +342,11 @@ def _matrix(base: DataFrame, parts: int) -> DataFrame:
     hot = F.broadcast(stash(seen.where(F.col("s") > max(16, classes // HOT)).select("hot"), "hot"))
     salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(-1))
     salted = rows.join(hot, F.col("token") == F.col("hot"), "left").select("token", salt.cast("long").alias("salt"), "key", "place")
-    dealt = salted.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "key")
-    return stash(dealt.mapInArrow(_runs(MANY), "token long, key long, place long, c int"), "matrix", let_go=True)
+    out = []
+    for share in range(PASSES):
+        dealt = salted.where(F.pmod("token", F.lit(PASSES)) == share).repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "key")
+        out.append(stash(dealt.mapInArrow(_runs(MANY), "token long, key long, place long, c int"), "matrix", let_go=True))
+    return out
 
 
 def _kept(matrix: DataFrame) -> DataFrame:
@@ -426,8 +434,8 @@ def _judged(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame
     named = whole.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = stash(named, "classes")
     drop(whole)
-    kept = _kept(matrix)
-    drop(matrix)
+    kept = _kept(reduce(DataFrame.union, matrix))
+    drop(*matrix)
 
     # the partition: each class with the hub of most of its tokens
     pair = (F.col("key") != F.col("hub")) & (~F.col("heavy") | F.col("poor") | F.col("hub_poor"))

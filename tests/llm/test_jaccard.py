@@ -199,6 +199,20 @@ def test_sets_are_moved_by_shuffle_beyond_the_broadcast(spark, monkeypatch):
     assert got == brute(rows, 3, 90, 100)
 
 
+def test_matrix_in_passes(spark, monkeypatch):
+    """No more than a share of the tokens is on its way at once, and the matrix has all that two classes share."""
+    rng = random.Random(29)
+    sets = {j: sorted({rng.randrange(900) * 7919 - 10**6 for _ in range(rng.randrange(1, 40))}) for j in range(150)}
+    base = spark.createDataFrame([(j, t, len(t) // 2) for j, t in sets.items()], "key long, tokens array<long>, p int")
+    written, stash = [], jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, label, *a, **k: written.append((label, stash(df, label, *a, **k))) or written[-1][1])
+    matrix = jaccard._matrix(base, 2)
+    rows = sorted((r.token, r.key) for part in matrix for r in part.collect())
+    times = Counter(t for s in sets.values() for t in s)
+    assert rows == sorted((t, j) for j, s in sets.items() for t in s if times[t] > 1)
+    assert max(table.count() for label, table in written if label == "matrix") <= 0.6 * len(rows)
+
+
 def test_runs_by_loop():
     rng = np.random.default_rng(4)
     for many in (1, 2, 5):
