@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from barloom.schema import SERIES, TS
 
+FAN = 16  # rows or sums of a group in totals_before
+
 
 def by_series(series: str = SERIES, ts: str = TS) -> WindowSpec:
     return Window.partitionBy(series).orderBy(ts)
@@ -52,6 +54,49 @@ def decayed_sum(df: DataFrame, out: str, u: Column, q: float, series: str = SERI
     return numbered.withColumn(out, total).drop(*names)
 
 
+def _climb(df: DataFrame, keys: list[str], at: str, x: str, steps: int) -> tuple[DataFrame, list[str]]:
+    """Columns that hold, at the last of each FAN**j rows, the sum of these rows: row by row for j = 1, then FAN sums each."""
+    names = [x]
+    for j in range(1, steps + 1):
+        last = F.col(at).bitwiseAND(F.lit(FAN ** (j - 1) - 1)) == FAN ** (j - 1) - 1
+        w = Window.partitionBy(*keys, F.floor(F.col(at) / FAN**j)).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        names.append(f"{x}_{j}")
+        df = df.withColumn(names[-1], F.sum(F.when(last, F.col(names[-2]))).over(w))
+    return df, names
+
+
+def _descend(df: DataFrame, keys: list[str], at: str, names: list[str], out: str) -> DataFrame:
+    """``out``, the total before each group of the largest size, becomes the total before each row: a group's, and then what lies in it, in order."""
+    for j in range(len(names) - 1, 0, -1):
+        w, done = Window.partitionBy(*keys, F.floor(F.col(at) / FAN**j)).orderBy(at), f"{out}_done"
+        starts = [F.col(at).bitwiseAND(F.lit(FAN**i - 1)) == 0 for i in (j, j - 1)]
+        df = df.withColumn(done, F.lag(names[j - 1]).over(w))
+        term = F.when(starts[0], F.col(out)).when(starts[1], F.col(done))
+        df = df.withColumn(out, F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(done)
+    return df
+
+
+def totals_before(df: DataFrame, out: str, x: str, at: str, series: str = SERIES) -> DataFrame:
+    """Adds ``out`` = sum of ``x`` over the series' rows before each, which ``at`` numbers from 0; NULL adds nothing.
+
+    The order of the additions is fixed by the numbers alone, so that the last bits don't depend on how rows are dealt:
+    sums of FAN rows, of FAN such sums and so on; a total takes the largest groups first, from left to right.  That is
+    the order of a segment tree of this width, as in DuckDB's windows, up to FAN**8 rows a series.  Groups of FAN**2
+    rows are summed in tasks of their own; one task orders the groups of a series.
+    """
+    chunk, inner, node = (f"__{out}_{n}" for n in ("chunk", "x", "node"))
+    rows = df.withColumn(chunk, F.floor(F.col(at) / FAN**2)).withColumn(inner, F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
+    rows, low = _climb(rows.repartition(series, chunk), [series, chunk], at, inner, 2)
+    full_group = F.col(at).bitwiseAND(F.lit(FAN**2 - 1)) == FAN**2 - 1
+    groups = rows.groupBy(series, chunk).agg(F.max(F.when(full_group, F.col(low[-1]))).alias(node))
+    groups, high = _climb(groups.repartition(series), [series], chunk, node, 5)
+    complete = F.col(chunk).bitwiseAND(F.lit(FAN**5 - 1)) == FAN**5 - 1
+    before = F.sum(F.when(complete, F.col(high[-1]))).over(Window.partitionBy(series).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    groups = _descend(groups.withColumn(out, F.coalesce(before, F.lit(0.0))), [series], chunk, high, out)
+    rows = rows.join(groups.select(series, chunk, out), [series, chunk])
+    return _descend(rows, [series, chunk], at, low, out).drop(chunk, *low)
+
+
 def ewm(df: DataFrame, out: str, x: str, span: float, std: bool = False, series: str = SERIES, ts: str = TS) -> DataFrame:
     """Exponentially weighted mean (or debiased standard deviation) with alpha = 2 / (span + 1), weights adjusted.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import totals_before
 from barloom.schema import require_columns
 
 
@@ -33,17 +34,18 @@ def time_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
 def dynamic_bars(ticks: DataFrame, kind: str, threshold: float) -> DataFrame:
     """A bar whenever ``threshold`` more ticks ("tick"), units ("volume") or money ("dollar") have passed.
 
-    The running total before a tick decides its bar.  Totals are summed by day first, so that only a day's ticks are
-    ordered in one task however long a series is.
+    The running total before a tick decides its bar.  Ticks are counted by day first, so that only a day's ticks are
+    ordered in one task however long a series is.  Totals are added in the order that SQL's windows take
+    (``totals_before``): one that meets a bar's limit to the cent may else lie on either side of it.
     """
     amount = {"tick": F.lit(1.0), "volume": F.col("qty"), "dollar": F.col("price") * F.col("qty")}
     if kind not in amount:
         raise ValueError(f"kind must be one of {sorted(amount)}")
     days = ticks.withColumn("__day", F.to_date("ts")).withColumn("__amount", amount[kind].cast("double"))
-    sums = days.groupBy("series_id", "__day").agg(F.sum("__amount").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.partitionBy("series_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.select("series_id", "__day", before.alias("__before"))
-    run = Window.partitionBy("series_id", "__day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.col("__before") + F.coalesce(F.sum("__amount").over(run), F.lit(0.0))
-    placed = days.join(sums, ["series_id", "__day"]).withColumn("__bar", F.floor(passed / threshold))
-    return _bars(placed, F.col("__bar")).withColumnRenamed("__bar", "bar_id")
+    counts = days.groupBy("series_id", "__day").agg(F.count(F.lit(1)).alias("__count"))
+    before = F.coalesce(F.sum("__count").over(Window.partitionBy("series_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("series_id", "__day", before.alias("__before"))
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("series_id", "__day").orderBy("ts", "event_id")) - 1
+    placed = days.join(counts, ["series_id", "__day"]).withColumn("__at", at)
+    placed = placed.withColumn("__passed", F.col("__at").cast("double")) if kind == "tick" else totals_before(placed, "__passed", "__amount", "__at")
+    return _bars(placed.withColumn("__bar", F.floor(F.col("__passed") / threshold)), F.col("__bar")).withColumnRenamed("__bar", "bar_id")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
-from barloom.functions.windows import decayed_sum, erf, ewm
-from barloom.operators import align, bet_sizing, breaks, ensemble, labels, microstructure, rolling, sampling, technical, validation
+from barloom.functions.windows import decayed_sum, erf, ewm, totals_before
+from barloom.operators import align, bars, bet_sizing, breaks, ensemble, labels, microstructure, rolling, sampling, technical, validation
 from barloom.plans.strategy import StrategySignalPipeline, StrategyTrader
 from barloom.schema import require_columns
 
@@ -448,3 +450,20 @@ def test_extremes_by_loop(spark):
         assert r.maxindex == (max(last, key=lambda j: (x[j], j)) if last else None)
         assert r.minindex == (max(last, key=lambda j: (-x[j], j)) if last else None)
         assert r["__row"] == 0
+
+
+def test_totals_on_a_bar_limit_equal_sql(spark, tmp_path):
+    """Running totals of dimes meet the limits exactly; the last bits are those of SQL's window, over several days and levels of groups."""
+    rng = np.random.default_rng(8)
+    ticks = pd.DataFrame({"series_id": ["a"] * 9001 + ["b"] * 300, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 5 * 86400, 9301), "s")})
+    ticks = ticks.assign(event_id=rng.permutation(9301), price=rng.integers(1, 200, 9301) / 10, qty=1.0, is_buy=True)
+    ticks.astype({"ts": "datetime64[us]"}).to_parquet(path := f"{tmp_path}/ticks.parquet")
+    total = "coalesce(sum(price * qty) over (partition by series_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0)"
+    want = duckdb.sql(f"select event_id, {total} as t from '{path}'").df().set_index("event_id").t
+    rows = spark.read.parquet(path)
+    at = F.row_number().over(Window.partitionBy("series_id").orderBy("ts", "event_id")) - 1
+    got = totals_before(rows.withColumn("at", at), "t", "price", "at").toPandas().set_index("event_id").t
+    assert (got.sort_index() == want.sort_index()).all()
+    sql = duckdb.sql(f"select series_id, floor(t / 20)::bigint as bar_id, count(*) as n from (select *, {total} as t from '{path}') group by all").fetchall()
+    made = bars.dynamic_bars(rows, "dollar", 20.0)
+    assert {(r.series_id, r.bar_id, r.num_ticks) for r in made.collect()} == set(sql)
