@@ -8,11 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 13
+BLOCK, FAR = 1 << 13, 60.0
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _exps(logits: np.ndarray, at: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """``logits`` become shares of a row's total but for its sum, which is returned after the log probabilities of ``at``.
+
+    Rows are only moved to a maximum of 0 where ``bound``, which no logit exceeds, doesn't keep their sums from overflow.
+    """
+    if not bound < FAR:
+        logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return own - np.log(total), total
 
 
 class Gru:
@@ -50,56 +59,70 @@ class Gru:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.classes * self.size, ids // self.size, ids - self.classes * (self.size - 1))
 
+    def halves(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two gates' columns, halved for ``move``, and the candidate's."""
+        k = 2 * self.hidden
+        return table[:, :k] * table.dtype.type(0.5), np.ascontiguousarray(table[:, k:])
+
+    def move(self, zr: np.ndarray, n: np.ndarray, h: np.ndarray, u: tuple[np.ndarray, np.ndarray], q: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The next state, in ``out``. The input's parts ``zr`` (half of it) and ``n`` become gates and candidate, ``q`` the state's part of this."""
+        k = self.hidden
+        zr += h @ u[0]
+        np.tanh(zr, out=zr)  # the sigmoid by the tangent of half
+        zr *= 0.5
+        zr += 0.5
+        np.matmul(h, u[1], out=q)
+        n += zr[:, k:] * q
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[:, :k]
+        out += n
+        return out
+
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """gates: the input's part, with bias. Returns the new state and what the way back needs."""
-        k, g = self.hidden, h @ self.p["u"]
-        zr = _sigmoid(gates[:, : 2 * k] + g[:, : 2 * k])
-        z, r, q = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-        n = np.tanh(gates[:, 2 * k :] + r * q)
-        return n + z * (h - n), z, r, n, q
+        """gates: the input's part, with bias. Returns the new state, gates, candidate and the state's part of it."""
+        k, (zr, n) = self.hidden, self.halves(gates)
+        q = np.empty_like(n)
+        return self.move(zr, n, h, self.halves(self.p["u"]), q, np.empty_like(n)), zr[:, :k], zr[:, k:], n, q
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of ``ids`` given states; with ``grads``, also the loss's slope by the states."""
-        p, cls = self.p, self.class_of(ids)
-        rows = np.arange(len(ids))
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[rows, cls].copy()
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out = own - np.log(total)
+        p, cls, k = self.p, self.class_of(ids), self.hidden
+        one = np.ones((len(h), k + 1), h.dtype)  # a last column for the biases
+        one[:, :k] = h
+        size = np.abs(one).max(0, initial=0)
+        top = np.vstack((p["c"], p["cb"]))
+        logits = one @ top
+        out, total = _exps(logits, cls, float((size @ np.abs(top)).max()))
         dh = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, cls] -= 1
-            grads["c"] += h.T @ logits
-            grads["cb"] += logits.sum(0)
+            logits *= (1 / total)[:, None]
+            logits[np.arange(len(ids)), cls] -= 1
+            slope = one.T @ logits
+            grads["c"] += slope[:k]
+            grads["cb"] += slope[k]
             dh = logits @ p["c"].T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         order = order[: cuts[-1]]  # of the words that share a class with others
-        part, word, at = h.take(order, 0), ids[order] % self.size, np.arange(len(order))
+        part, word = one.take(order, 0), ids[order] % self.size
+        low = np.concatenate((p["w"], p["wb"][:, None, :]), 1)
         logits = np.empty((len(order), self.size), h.dtype)
-        full = [c for c in range(self.classes) if cuts[c] < cuts[c + 1]]
-        for c in full:
-            mine = slice(cuts[c], cuts[c + 1])
-            np.matmul(part[mine], p["w"][c], out=logits[mine])
-            logits[mine] += p["wb"][c]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[at, word].copy()
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out[order] += own - np.log(total)
+        full = [(c, slice(cuts[c], cuts[c + 1])) for c in range(self.classes) if cuts[c] < cuts[c + 1]]
+        for c, mine in full:
+            np.matmul(part[mine], low[c], out=logits[mine])
+        more, total = _exps(logits, word, float((size @ np.abs(low)).max()))
+        out[order] += more
         if grads is not None:
-            logits /= total[:, None]
-            logits[at, word] -= 1
-            slope = np.empty_like(part)
-            for c in full:
-                mine = slice(cuts[c], cuts[c + 1])
-                grads["w"][c] += part[mine].T @ logits[mine]
-                grads["wb"][c] += logits[mine].sum(0)
-                np.matmul(logits[mine], p["w"][c].T, out=slope[mine])
-            dh[order] += slope
+            logits *= (1 / total)[:, None]
+            logits[np.arange(len(order)), word] -= 1
+            back, slope = np.empty((len(order), k), h.dtype), np.zeros_like(low)
+            for c, mine in full:
+                np.matmul(part[mine].T, logits[mine], out=slope[c])
+                np.matmul(logits[mine], p["w"][c].T, out=back[mine])
+            grads["w"] += slope[:, :k]
+            grads["wb"] += slope[:, k]
+            dh[order] += back
         return out, dh
 
     def train(self, docs: list[np.ndarray], end: int, epochs: int, lanes: int = 64, window: int = 32, rate: float = 0.01, seed: int = 0) -> list[float]:
@@ -140,15 +163,16 @@ class Gru:
                 place = np.empty(xs.size, np.int64)
                 place[order] = np.cumsum(new) - 1
                 place = place.reshape(xs.shape)
-                table = self.p["x"].take(names, 0) + self.p["b"]
+                table = self.halves(self.p["x"].take(names, 0) + self.p["b"])
+                u = self.halves(self.p["u"])
                 g = {n: np.zeros_like(w) for n, w in self.p.items() if n != "x"}
                 live_in = (xs != end).astype(np.float32)[:, :, None]
-                states, before = (np.empty((steps_in, active, k), np.float32) for _ in range(2))
-                z, r, n, q = (np.empty((steps_in, active, k), np.float32) for _ in range(4))
+                states, before, q = (np.empty((steps_in, active, k), np.float32) for _ in range(3))
+                zr, n = (part.take(place, 0) for part in table)
                 for i in range(steps_in):
                     np.multiply(h, live_in[i], out=before[i])
-                    states[i], z[i], r[i], n[i], q[i] = self.step(table.take(place[i], 0), before[i])
-                    h = states[i]
+                    h = self.move(zr[i], n[i], before[i], u, q[i], states[i])
+                z, r = zr[:, :, :k], zr[:, :, k:]
                 live = ys >= 0
                 ids = ys[live]
                 logp, dh_live = self.log_probs(states[live], ids, g)
@@ -158,14 +182,16 @@ class Gru:
                 # what of a step's slope reaches its gates, and the state's part of them, for all steps at once
                 to_n = (1 - z) * (1 - n * n)
                 reach, inner, ds = np.empty((steps_in, active, 3, k), np.float32), np.empty((steps_in, active, 3, k), np.float32), np.empty_like(slope)
-                reach[:, :, 0], reach[:, :, 1], reach[:, :, 2] = (before - n) * z * (1 - z), to_n * q * r * (1 - r), to_n * r
-                back, turned, keep = np.zeros((active, k), np.float32), np.ascontiguousarray(self.p["u"].T), z * live_in
+                np.multiply(to_n, r, out=reach[:, :, 2])
+                np.multiply(reach[:, :, 2] * q, 1 - r, out=reach[:, :, 1])
+                np.multiply((before - n) * z, 1 - z, out=reach[:, :, 0])
+                back, passed, turned, keep = np.zeros((active, k), np.float32), np.empty((active, k), np.float32), np.ascontiguousarray(self.p["u"].T), z * live_in
                 for i in range(steps_in - 1, -1, -1):
                     d = np.add(slope[i], back, out=ds[i])
                     np.multiply(d[:, None, :], reach[i], out=inner[i])
-                    back = inner[i].reshape(active, 3 * k) @ turned
+                    np.matmul(inner[i].reshape(active, 3 * k), turned, out=back)
                     back *= live_in[i]
-                    back += d * keep[i]
+                    back += np.multiply(d, keep[i], out=passed)
                 g["u"] = before.reshape(-1, k).T @ inner.reshape(-1, 3 * k)
                 inner[:, :, 2] = ds * to_n  # the input's part isn't scaled by the reset gate
                 flat = inner.reshape(-1, 3 * k)
@@ -207,7 +233,7 @@ class Gru:
             return out
         begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         flat = np.concatenate([docs[i] for i in order])
-        gates = self.p["x"] + self.p["b"]
+        table, u = self.halves(self.p["x"] + self.p["b"]), self.halves(self.p["u"])
         h = np.zeros((int((lengths > 0).sum()), self.hidden), np.float32)
         sums = np.zeros(len(h))
         before = np.full(len(h), end, np.int64)
@@ -217,7 +243,8 @@ class Gru:
             a, b = b, min(longest, b + (window or -(-BLOCK // len(h))))
             for t in range(a, b):
                 n = int(np.searchsorted(falling, -t, "left"))  # documents longer than t
-                h = self.step(gates.take(before[:n], 0), h[:n])[0]
+                zr, cand = (part.take(before[:n], 0) for part in table)
+                h = self.move(zr, cand, h[:n], u, np.empty_like(cand), np.empty_like(cand))
                 before = flat[begin[:n] + t]
                 states.append(h)
                 ids.append(before)

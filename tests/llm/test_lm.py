@@ -9,7 +9,7 @@ import pytest
 from common import EDGES, docs_of, words
 
 from barloom.llm import lm
-from barloom.llm.gru import Gru
+from barloom.llm.gru import FAR, Gru
 
 
 def base_of(rows):
@@ -156,3 +156,24 @@ def test_whole_score_by_loop(spark, monkeypatch, table):
             before = now
         assert got[d].score == pytest.approx(want, rel=1e-4), d
     assert rare_seen > 50 and len(count) > lm.CLASSES * lm.SIZE  # some words of the table are outside the network
+
+
+@pytest.mark.parametrize("size", [1, 30])
+def test_state_and_chances_by_plain_formulas(size):
+    """Gates by half tangents, and rows of exponents with and without moving them (weights of size 30 go beyond what is safe)."""
+    net, rng = Gru(3, 4, 2, 5, seed=1), np.random.default_rng(2)
+    net.p = {k: rng.standard_normal(v.shape) * size for k, v in net.p.items()}
+    h, ids = rng.uniform(-1, 1, (40, 5)), rng.integers(0, 14, 40)
+    gates, u = rng.standard_normal((40, 15)), net.p["u"]
+    z, r = (1 / (1 + np.exp(-(gates + h @ u)[:, a : a + 5])) for a in (0, 5))
+    n = np.tanh(gates[:, 10:] + r * (h @ u)[:, 10:])
+    zr, cand = net.halves(gates)
+    moved = net.move(zr, cand, h, net.halves(u), np.empty((40, 5)), np.empty((40, 5)))
+    assert np.allclose(moved, (1 - z) * n + z * h) and np.allclose(np.hstack((zr, cand)), np.hstack((z, r, n)))
+    want = []
+    for row, w in zip(h, ids, strict=True):
+        c = w // 4 if w < 12 else w - 9
+        want.append(softmax_log(row @ net.p["c"] + net.p["cb"], c) + (softmax_log(row @ net.p["w"][c] + net.p["wb"][c], w % 4) if w < 12 else 0))
+    bound = (np.abs(h).max(0) @ np.abs(net.p["c"]) + np.abs(net.p["cb"])).max()
+    assert (bound < FAR) == (size == 1)
+    assert np.allclose(net.log_probs(h, ids)[0], want)
